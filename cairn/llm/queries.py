@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +16,24 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False, digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op10_byte_bpe,)}
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also near_prints: for each doc_id divisible by 20, the other fingerprints at most 3 bits from its own."""
+    from .simhash import edited_fingerprints, within
+
+    prints = materialize(edited_fingerprints(table(spark, sf_dir, "documents")), "simhash")
+    asked = F.col("doc_id") % 20 == 0
+    found = within(prints.filter(asked), prints, radius=3).groupBy(F.col("a").alias("fingerprint")).agg(F.count("*").alias("n"))
+    return prints.join(found, "fingerprint", "left").select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.when(asked, F.coalesce("n", F.lit(0))).alias("near_prints")
+    )
+
+
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lsh_forest import links
+
+    return links(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op9_ngram_jaccard, op10_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
