@@ -28,12 +28,41 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import taken
+
+    return taken(table(spark, sf_dir, "documents"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import BASE, joined, scan
+
+    found = scan(table(spark, sf_dir, "documents"))
+    count = lambda rank: F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("long")
+    base = F.filter("spans", lambda s: s["rank"] < len(BASE))
+    return found.select(
+        "doc_id", *(count(i).alias(f"n_{rule.kind}") for i, rule in enumerate(BASE)), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
+    )
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lsh_forest import links
 
     return links(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op9_ngram_jaccard, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_secret_scan, op5_license_scan, op6_url_filter, op9_ngram_jaccard, op10_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
