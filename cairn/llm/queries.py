@@ -45,6 +45,18 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import catalog, contents, store
+
+    rows = store(table(spark, sf_dir, "documents"))
+    addresses = materialize(catalog(rows), "catalog")
+    seen = addresses.select("digest", "shard", "offset", "length").join(materialize(contents(addresses), "contents"), "digest")
+    return rows.select("doc_id", "n_bytes", "digest").join(seen, "digest").select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), F.lower(F.hex("digest")).alias("media_sha256"),
+        "feature", "media_width", "media_height", "shard", "offset",
+    )
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan
 
@@ -57,12 +69,31 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, score
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    scored = score(docs, fit(docs, labels.filter(~held_out)))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also root: the Merkle root of the document's chunks."""
+    import public_tokenizers
+
+    from .token_store import read, write
+
+    found = read(write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2))
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32", F.lower(F.hex("root")).alias("root"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lsh_forest import links
 
     return links(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_secret_scan, op5_license_scan, op6_url_filter, op9_ngram_jaccard, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_secret_scan, op4_media, op5_license_scan, op6_url_filter, op7_quality, op8_token_store, op9_ngram_jaccard, op10_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
