@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,7 +64,6 @@ def llm(prompt: str, a: Column | str, b: Column | str | None = None, backend: Ca
     joined = F.concat(F.lit(prompt), F.coalesce(_column(a).cast("string"), F.lit("")))
     if backend is None:
         return joined
-    import pandas as pd
 
     @F.pandas_udf("string")
     def call(texts: pd.Series, others: pd.Series) -> pd.Series:

@@ -22,7 +22,10 @@ from .registry import query
 from .statements import text
 
 c = F.col
-LATE = F.to_timestamp_ntz(F.lit("2001-01-01 00:00:00"))
+
+
+def late(t):
+    return filter_rows(t.orders, c("o_orderdate") >= F.to_timestamp_ntz(F.lit("2001-01-01 00:00:00")))
 
 
 @query("scan_project")
@@ -108,8 +111,7 @@ def agg_group_multi_key(t):
 
 @query("agg_count_col_vs_star")
 def agg_count_col_vs_star(t):
-    late = filter_rows(t.orders, c("o_orderdate") >= LATE)
-    return aggregate(hash_join(t.customer, late, [("c_custkey", "o_custkey")], "left"), ["c_custkey"], c_col=F.count("o_orderkey"), c_star=F.count("*"))
+    return aggregate(hash_join(t.customer, late(t), [("c_custkey", "o_custkey")], "left"), ["c_custkey"], c_col=F.count("o_orderkey"), c_star=F.count("*"))
 
 
 @query("agg_post_expr", rounded={"promo_revenue": 6})
@@ -152,12 +154,12 @@ def join_inner_multikey(t):
 
 @query("join_left")
 def join_left(t):
-    return hash_join(t.customer, filter_rows(t.orders, c("o_orderdate") >= LATE), [("c_custkey", "o_custkey")], "left").select("c_custkey", "o_orderkey")
+    return hash_join(t.customer, late(t), [("c_custkey", "o_custkey")], "left").select("c_custkey", "o_orderkey")
 
 
 @query("join_right")
 def join_right(t):
-    return hash_join(filter_rows(t.orders, c("o_orderdate") >= LATE), t.customer, [("o_custkey", "c_custkey")], "right").select("c_custkey", "o_orderkey")
+    return hash_join(late(t), t.customer, [("o_custkey", "c_custkey")], "right").select("c_custkey", "o_orderkey")
 
 
 @query("join_full")
@@ -172,7 +174,7 @@ def join_semi(t):
 
 @query("join_anti")
 def join_anti(t):
-    return anti_join(t.customer, filter_rows(t.orders, c("o_orderdate") >= LATE), [("c_custkey", "o_custkey")]).select("c_custkey")
+    return anti_join(t.customer, late(t), [("c_custkey", "o_custkey")]).select("c_custkey")
 
 
 @query("join_semi_theta")

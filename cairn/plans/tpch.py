@@ -9,7 +9,11 @@ from ..operators import aggregate, anti_join, filter_rows, hash_join, order_by,
 from .registry import query
 
 c = F.col
-PRICE = c("l_extendedprice") * (1 - c("l_discount"))
+
+
+def price():
+    """What a line item costs."""
+    return c("l_extendedprice") * (1 - c("l_discount"))
 
 
 def day(text):
@@ -33,8 +37,8 @@ def in_region(t, name):
 def q1(t):
     rows = filter_rows(t.lineitem, c("l_shipdate") <= day("1997-10-01"))
     out = aggregate(
-        rows, ["l_returnflag", "l_linestatus"], sum_qty=F.sum("l_quantity"), sum_base_price=F.sum("l_extendedprice"), sum_disc_price=F.sum(PRICE),
-        sum_charge=F.sum(PRICE * (1 + c("l_tax"))), avg_qty=F.avg("l_quantity"), avg_price=F.avg("l_extendedprice"), avg_disc=F.avg("l_discount"), count_order=F.count("*"),
+        rows, ["l_returnflag", "l_linestatus"], sum_qty=F.sum("l_quantity"), sum_base_price=F.sum("l_extendedprice"), sum_disc_price=F.sum(price()),
+        sum_charge=F.sum(price() * (1 + c("l_tax"))), avg_qty=F.avg("l_quantity"), avg_price=F.avg("l_extendedprice"), avg_disc=F.avg("l_discount"), count_order=F.count("*"),
     )
     return order_by(out, "l_returnflag", "l_linestatus")
 
@@ -56,7 +60,7 @@ def q3(t):
     buyers = filter_rows(t.customer, c("c_mktsegment") == "BUILDING")
     orders = semi_join(filter_rows(t.orders, c("o_orderdate") < day("1996-03-15")), buyers, [("o_custkey", "c_custkey")]).select("o_orderkey", "o_orderdate")
     lines = filter_rows(t.lineitem, c("l_shipdate") > day("1996-03-15"))
-    return aggregate(hash_join(lines, orders, [("l_orderkey", "o_orderkey")]), ["l_orderkey", "o_orderdate"], revenue=F.sum(PRICE))
+    return aggregate(hash_join(lines, orders, [("l_orderkey", "o_orderkey")]), ["l_orderkey", "o_orderdate"], revenue=F.sum(price()))
 
 
 @query("tpch_q4")
@@ -72,7 +76,7 @@ def q5(t):
     orders = filter_rows(t.orders, c("o_orderdate") >= day("1996-01-01"), c("o_orderdate") < day("1997-01-01"))
     sold = hash_join(t.lineitem, hash_join(orders, t.customer, [("o_custkey", "c_custkey")]), [("l_orderkey", "o_orderkey")])
     local = hash_join(sold, replicated_join(t.supplier, nations, [("s_nationkey", "n_nationkey")]), [("l_suppkey", "s_suppkey"), ("c_nationkey", "s_nationkey")])
-    return aggregate(local, ["n_name"], revenue=F.sum(PRICE))
+    return aggregate(local, ["n_name"], revenue=F.sum(price()))
 
 
 @query("tpch_q6", rounded={"revenue": 2})
@@ -89,7 +93,7 @@ def q7(t):
     buyers = replicated_join(t.customer, pair.select(c("n_nationkey").alias("cn"), c("n_name").alias("cust_nation")), [("c_nationkey", "cn")])
     lines = filter_rows(t.lineitem, c("l_shipdate") >= day("1995-01-01"), c("l_shipdate") <= day("1999-12-31"))
     sold = hash_join(hash_join(lines, sellers, [("l_suppkey", "s_suppkey")]), hash_join(t.orders, buyers, [("o_custkey", "c_custkey")]), [("l_orderkey", "o_orderkey")])
-    return aggregate(filter_rows(sold, c("supp_nation") != c("cust_nation")), ["supp_nation", "cust_nation", extract_year("l_shipdate").alias("l_year")], revenue=F.sum(PRICE))
+    return aggregate(filter_rows(sold, c("supp_nation") != c("cust_nation")), ["supp_nation", "cust_nation", extract_year("l_shipdate").alias("l_year")], revenue=F.sum(price()))
 
 
 @query("tpch_q8", rounded={"mkt_share": 8})
@@ -99,7 +103,7 @@ def q8(t):
     lines = semi_join(t.lineitem, filter_rows(t.part, c("p_type") == "ECONOMY"), [("l_partkey", "p_partkey")])
     sold = hash_join(lines, semi_join(orders, buyers, [("o_custkey", "c_custkey")]), [("l_orderkey", "o_orderkey")])
     sold = hash_join(sold, replicated_join(t.supplier, t.nation, [("s_nationkey", "n_nationkey")]), [("l_suppkey", "s_suppkey")])
-    return aggregate(sold, [extract_year("o_orderdate").alias("o_year")], mkt_share=F.sum(F.when(c("n_name") == "NATION_2", PRICE).otherwise(0)) / F.sum(PRICE))
+    return aggregate(sold, [extract_year("o_orderdate").alias("o_year")], mkt_share=F.sum(F.when(c("n_name") == "NATION_2", price()).otherwise(0)) / F.sum(price()))
 
 
 @query("tpch_q9", rounded={"sum_profit": 2})
@@ -109,7 +113,7 @@ def q9(t):
     costs = semi_join(partsupp(t), parts, [("ps_partkey", "p_partkey")])
     sold = hash_join(lines, costs, [("l_partkey", "ps_partkey"), ("l_suppkey", "ps_suppkey")])
     sold = hash_join(hash_join(sold, t.orders, [("l_orderkey", "o_orderkey")]), replicated_join(t.supplier, t.nation, [("s_nationkey", "n_nationkey")]), [("l_suppkey", "s_suppkey")])
-    return aggregate(sold, [c("n_name").alias("nation"), extract_year("o_orderdate").alias("o_year")], sum_profit=F.sum(PRICE - c("ps_supplycost") * c("l_quantity")))
+    return aggregate(sold, [c("n_name").alias("nation"), extract_year("o_orderdate").alias("o_year")], sum_profit=F.sum(price() - c("ps_supplycost") * c("l_quantity")))
 
 
 @query("tpch_q10", rounded={"revenue": 2})
@@ -117,7 +121,7 @@ def q10(t):
     orders = filter_rows(t.orders, c("o_orderdate") >= day("1996-10-01"), c("o_orderdate") < day("1997-01-01"))
     lines = hash_join(filter_rows(t.lineitem, c("l_returnflag") == "R"), orders, [("l_orderkey", "o_orderkey")])
     # revenue is summed by customer before the customer's own columns are joined
-    spent = aggregate(lines, ["o_custkey"], revenue=F.sum(PRICE))
+    spent = aggregate(lines, ["o_custkey"], revenue=F.sum(price()))
     buyers = replicated_join(t.customer, t.nation, [("c_nationkey", "n_nationkey")])
     return hash_join(buyers, spent, [("c_custkey", "o_custkey")]).select("c_custkey", "c_name", "c_acctbal", "n_name", "revenue")
 
@@ -151,13 +155,13 @@ def q13(t):
 def q14(t):
     lines = filter_rows(t.lineitem, c("l_shipdate") >= day("1995-09-01"), c("l_shipdate") < day("1995-10-01"))
     joined = hash_join(lines, t.part, [("l_partkey", "p_partkey")])
-    return aggregate(joined, promo_revenue=100.0 * F.sum(F.when(like("p_type", "PROMO%"), PRICE).otherwise(0)) / F.sum(PRICE))
+    return aggregate(joined, promo_revenue=100.0 * F.sum(F.when(like("p_type", "PROMO%"), price()).otherwise(0)) / F.sum(price()))
 
 
 @query("tpch_q15", rounded={"total_revenue": 2})
 def q15(t):
     lines = filter_rows(t.lineitem, c("l_shipdate") >= day("1996-01-01"), c("l_shipdate") < day("1996-04-01"))
-    revenue = aggregate(lines, ["l_suppkey"], total=F.sum(F.round(PRICE, 2))).select("l_suppkey", F.round("total", 2).alias("total_revenue"))
+    revenue = aggregate(lines, ["l_suppkey"], total=F.sum(F.round(price(), 2))).select("l_suppkey", F.round("total", 2).alias("total_revenue"))
     best = filter_rows(revenue, c("total_revenue") == aggregate(revenue, m=F.max("total_revenue")).scalar())
     return hash_join(t.supplier, best, [("s_suppkey", "l_suppkey")]).select("s_suppkey", "s_name", "total_revenue")
 
@@ -194,7 +198,7 @@ def q19(t):
         return (c("p_brand") == brand) & in_list("p_type", types) & quantity.between(low, low + 10) & size.between(1, most)
 
     wanted = branch("Brand#12", ("SMALL", "PROMO"), 1, 15) | branch("Brand#13", ("MEDIUM", "ECONOMY"), 10, 30) | branch("Brand#14", ("LARGE", "STANDARD"), 20, 45)
-    return aggregate(filter_rows(joined, wanted), revenue=F.sum(PRICE))
+    return aggregate(filter_rows(joined, wanted), revenue=F.sum(price()))
 
 
 @query("tpch_q20")

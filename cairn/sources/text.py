@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,22 +18,20 @@ def read_text(spark: SparkSession, paths: str | Sequence[str], schema: T.StructT
     A wrong number of fields or a value that isn't of its column's type ends the query that reads it with
     InvalidData's message; the check is part of the scan.
     """
-    spelled = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(schema) + 1)])
-    raw = spark.read.schema(spelled).options(sep=separator, mode="PERMISSIVE", quote="", nullValue="\0", emptyValue="", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(
-        [paths] if isinstance(paths, str) else list(paths)
-    )
-    last = f"_{len(schema)}"
+    lines = spark.read.text([paths] if isinstance(paths, str) else list(paths))
+    raw = lines.select(F.split("value", re.escape(separator), -1).alias("f"))
     # a trailing separator gives one more, empty, field
-    wrong = F.col(f"_{len(schema) - 1}").isNull() | (F.col(last).isNotNull() & (F.col(last) != ""))
+    n = len(schema)
+    wrong = ~((F.size("f") == n) | ((F.size("f") == n + 1) & (F.get("f", F.lit(n)) == "")))
     row_error = F.raise_error(F.lit("wrong number of fields"))
     columns = []
     for i, field in enumerate(schema):
-        text = F.when(wrong, row_error).otherwise(F.col(f"_{i}"))
+        text = F.when(wrong, row_error).otherwise(F.get("f", F.lit(i)))
         if isinstance(field.dataType, T.StringType):
-            columns.append(F.coalesce(text, F.lit("")).alias(field.name))
+            columns.append(text.alias(field.name))
         else:
             value = text.try_cast(field.dataType)
-            error = F.raise_error(F.concat(F.lit(f"bad value for {field.name}: "), F.coalesce(F.col(f"_{i}"), F.lit(""))))
+            error = F.raise_error(F.concat(F.lit(f"bad value for {field.name}: "), F.get("f", F.lit(i))))
             columns.append(F.when(value.isNull(), error).otherwise(value).cast(field.dataType).alias(field.name))
     return raw.select(*columns)
 

@@ -60,6 +60,7 @@ class QueryHandler:
             return QueryResult(None)
         if dropped := _DROP.match(sql):
             self.db.drop(dropped[1])
+            self.db.spark.catalog.dropTempView(dropped[1])
             return QueryResult(None)
         self.db.views()
         try:
