@@ -28,16 +28,16 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", keep:
     def run(batches):
         own, encoder = rank_encoding(ranks, pattern)
         for batch in slices(batches, "__text"):
-            coded = encoder.encode(batch.column("__text").fill_null("").to_pylist())
-            columns = [batch.column(c) for c in keep] + [pa.array([len(x) // 4 for x in coded], pa.int64())]
+            coded = encoder.encode(batch.column("__text"))
+            columns = [batch.column(c) for c in keep] + [pa.array([len(x) for x in coded], pa.int64())]
             names = [*keep, "n_tokens"]
             if ids:
-                flat = np.frombuffer(b"".join(coded), "<i4")
-                columns.append(pa.ListArray.from_arrays(np.cumsum([0, *(len(x) // 4 for x in coded)]).astype(np.int32), pa.array(flat, pa.int32())))
+                flat = np.concatenate(coded).view("<i4")
+                columns.append(pa.ListArray.from_arrays(np.cumsum([0, *(len(x) for x in coded)]).astype(np.int32), pa.array(flat, pa.int32())))
                 names.append("ids")
             if digests:
-                columns.append(pa.array([hashlib.sha256(x).hexdigest() for x in coded]))
-                columns.append(pa.array([hashlib.sha256(own.decode_bytes(np.frombuffer(x, "<u4").tolist())).hexdigest() for x in coded]))
+                columns.append(pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in coded]))
+                columns.append(pa.array([hashlib.sha256(own.decode_bytes(x.tolist())).hexdigest() for x in coded]))
                 names += ["ids_sha256", "decoded_sha256"]
             yield pa.RecordBatch.from_arrays(columns, names)
 

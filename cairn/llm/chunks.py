@@ -13,47 +13,102 @@ import re
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
+
+from .common import utf8
+from .shingles import span_hashes
 
-#: A space that isn't followed by a non-space: where these occur, parts are cut between two non-spaces only.
-_UNSAFE = re.compile(r" (?=\s)| \Z")
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Marks that, after a letter or digit, make a piece of their own.
+_TAIL = ".,"
+#: Bytes that a white-space character may start with.
+_MAYBE_SPACE = np.zeros(256, bool)
+_MAYBE_SPACE[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 class ChunkEncoder:
-    """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers.
+    """encode(column) gives each text's ids as an array of unsigned 32-bit integers.
 
-    one: ids of a text. many: ids of parts that each start with their only space. Parts over longest characters
-    aren't kept; when limit parts are kept, the cache starts anew.
+    one: ids of a text. many: ids of parts that each start with their only space. A column's parts are found and
+    told apart on its bytes, by 64-bit hashes and lengths; each different part is then looked up, or encoded and
+    kept. Parts over longest bytes aren't kept; when limit parts are kept, the cache starts anew. A part that is
+    another one with full stops or commas after its last letter or digit is put together from both.
     """
 
-    def __init__(self, one: Callable[[str], Iterable[int]], many: Callable[[list[str]], list[bytes]], limit: int = 300_000, longest: int = 48):
+    def __init__(self, one: Callable[[str], Iterable[int]], many: Callable[[list[str]], list[bytes]], limit: int = 800_000, longest: int = 64):
         self.one, self.many, self.limit, self.longest = one, many, limit, longest
-        self.kept: dict[str, bytes] = {}
+        self.kept: dict[bytes, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.fromiter(self.one(text), "<u4").tobytes() if text else b""
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
+        """Keep the ids of missing parts; those of the parts that aren't kept are the result."""
+        kept, extra, tailed, plain = self.kept, {}, [], {}
+        for raw in missing:
+            x = raw.decode()
+            if len(raw) > self.longest or x[0] != " ":
+                extra[raw] = self.whole(x)
+            elif x[-1] in _TAIL and (base := x.rstrip(_TAIL))[-1].isalnum():
+                tailed.append((raw, base, x[len(base) :]))
+                if base.encode() not in kept:
+                    plain[base] = None
+            else:
+                plain[x] = None
+        parts = list(plain)
+        kept.update(zip([x.encode() for x in parts], self.many(parts), strict=True))
+        for raw, base, tail in tailed:
+            if tail not in self.tails:
+                self.tails[tail] = self.whole(tail)
+            kept[raw] = kept[base.encode()] + self.tails[tail]
+        return extra
+
+    def _slow(self, text: str) -> np.ndarray:
+        head, *rest = _SAFE_CUT.split(text)
+        parts = [self.whole(head)]
+        for x in rest:
+            known = self.kept.get(f" {x}".encode())
+            parts.append(self.whole(f" {x}") if known is None else known)
+        return np.frombuffer(b"".join(parts), "<u4")
+
+    def encode(self, column: pa.Array) -> list[np.ndarray]:
         if len(self.kept) > self.limit:
             self.kept.clear()
-        kept, cut = self.kept, []
-        for text in texts:
-            cut.append(None if _UNSAFE.search(text) else text.split(" "))
-        missing = {part for parts in cut if parts for part in parts[1:] if part not in kept}
-        extra: dict[str, bytes] = {}
-        if missing:
-            parts = [x for x in missing if len(x) <= self.longest]
-            kept.update(zip(parts, self.many([f" {x}" for x in parts]), strict=True))
-            extra = {x: self.whole(f" {x}") for x in missing if len(x) > self.longest}
-        out = []
-        for text, parts in zip(texts, cut, strict=True):
-            if parts is None:
-                head, *rest = _SAFE_CUT.split(text)
-                out.append(b"".join([self.whole(head), *(self.whole(f" {x}") for x in rest)]))
-            elif extra:
-                out.append(self.whole(parts[0]) + b"".join([kept[x] if x in kept else extra[x] for x in parts[1:]]))
-            else:
-                out.append(self.whole(parts[0]) + b"".join(map(kept.__getitem__, parts[1:])))
+        data, offsets = utf8(column)
+        if not len(data):
+            return [np.zeros(0, "<u4")] * len(column)
+        # a part starts at every space and at every text's first byte
+        begins = data == 32
+        at = np.flatnonzero(begins)
+        begins[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], len(data))
+        # texts with a space that no non-space follows: there it isn't a place to cut
+        texts_end = np.zeros(len(data) + 1, bool)
+        texts_end[offsets] = True
+        doubtful = at[texts_end[at + 1] | _MAYBE_SPACE[data[np.minimum(at + 1, len(data) - 1)]]]
+        unsafe = {int(np.searchsorted(offsets, i, side="right")) - 1 for i in doubtful if texts_end[i + 1] or data[i + 1 : i + 5].tobytes().decode(errors="ignore")[0].isspace()}
+        hashes = span_hashes(data, starts, ends) + (ends - starts).astype(np.uint64)
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        keys = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        found = list(map(self.kept.get, keys))
+        spaced = {k for k in keys if k[0] == 32 and (len(k) == 1 or k[1:5].decode(errors="ignore")[:1].isspace())} if unsafe else ()
+        extra = self._learn([k for k, v in zip(keys, found, strict=True) if v is None and k not in spaced])
+        for i, v in enumerate(found):
+            if v is None:
+                k = keys[i]
+                found[i] = self.kept[k] if k in self.kept else extra.get(k, b"")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, base = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        counts = sizes[which]
+        to = np.concatenate([[0], np.cumsum(counts)])
+        ids = flat[np.repeat(base[which] - to[:-1], counts) + np.arange(to[-1])]
+        bounds = to[np.searchsorted(starts, offsets)].tolist()
+        out = [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        for i in unsafe:
+            out[i] = self._slow(raw[offsets[i] : offsets[i + 1]].decode())
         return out
 
 
@@ -69,7 +124,7 @@ def rank_encoding(path: str, pattern: str):
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         own = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         plain = own.encode_ordinary
-        _ENCODERS[path, pattern] = own, ChunkEncoder(plain, lambda parts: [np.array(plain(x), "<u4").tobytes() for x in parts])
+        _ENCODERS[path, pattern] = own, ChunkEncoder(plain, lambda parts: [np.array(plain(x), "<u4").tobytes() for x in parts], limit=200_000)
     return _ENCODERS[path, pattern]
 
 

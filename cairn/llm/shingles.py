@@ -11,6 +11,7 @@ import numpy as np
 _BYTES = np.arange(256)
 _IS_WORD = (_BYTES >= 128) | ((_BYTES >= 48) & (_BYTES <= 57)) | ((_BYTES | 32) >= 97) & ((_BYTES | 32) <= 122)
 _FOLDED = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES | 32, _BYTES).astype(np.uint64) + np.uint64(1)
+_PLAIN = _BYTES.astype(np.uint64) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _PLACE = np.array([pow(0xD1342543DE82EF95, i + 1, 1 << 64) for i in range(64)], np.uint64)
@@ -38,6 +39,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, value: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the byte spans [start, end) of data; value: what each byte counts as."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((_PLAIN if value is None else value)[data] * _power(_BASE, len(data)), out=total[1:])
+    return mix((total[ends] - total[starts]) * _power(_INVERSE, len(data))[starts])
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and the n + 1 places in them where each text's words start."""
     if not len(data):
@@ -52,9 +60,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     last = first[1:] - 1
     ends[last] = inside[last]
     starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_FOLDED[data] * _power(_BASE, len(data)), out=total[1:])
-    return mix((total[ends] - total[starts]) * _power(_INVERSE, len(data))[starts]), np.searchsorted(starts, offsets)
+    return span_hashes(data, starts, ends, _FOLDED), np.searchsorted(starts, offsets)
 
 
 def shingles(hashes: np.ndarray, at: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:

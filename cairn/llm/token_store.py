@@ -26,8 +26,8 @@ from .common import delete_path, fresh_path, materialize, open_store, slices
 from .order import bucket_of, dealt, id_bounds
 from .shingles import mix
 
-LEAST, MASK, MOST = 64, np.uint64(255), 4096
-_WINDOW = 16
+LEAST, MASK, MOST = 256, np.uint64(1023), 8192
+_WINDOW = 8
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(_WINDOW)], np.uint64)
 
 
@@ -162,8 +162,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", key:
         encoder, name = file_tokenizer(tokenizer), _task_name("spool")
         out, rows = PackWriter(spool, name), []
         for batch in slices(batches, "t"):
-            for k, coded in zip(batch.column("k").to_pylist(), encoder.encode(batch.column("t").fill_null("").to_pylist()), strict=True):
-                ids = np.append(np.frombuffer(coded, "<u4"), np.uint32(end_id)).astype(unit)
+            for k, coded in zip(batch.column("k").to_pylist(), encoder.encode(batch.column("t")), strict=True):
+                ids = np.append(coded, np.uint32(end_id)).astype(unit)
                 ends = cuts(ids)
                 raw = ids.tobytes()
                 bounds = [0, *(e * unit.itemsize for e in ends)]
@@ -228,15 +228,20 @@ def read(handle: dict, key: str = "doc_id") -> DataFrame:
         reader = PackReader(folder)
         for batch in batches:
             crcs, roots = [], []
-            for n, chunks in zip(batch.column("n").to_pylist(), batch.column("chunks").to_pylist(), strict=True):
-                parts = [reader.read(c["pack"], c["at"], c["length"], c["inner"], c["size"]) for c in chunks]
-                if any(digest_of(raw) != c["digest"] for raw, c in zip(parts, chunks, strict=True)):
+            lists = batch.column("chunks")
+            fields = lists.flatten().flatten()  # pos, digest, then the address
+            digests, places = fields[1].to_pylist(), list(zip(*(x.to_pylist() for x in fields[2:]), strict=True))
+            at = [0, *np.cumsum(lists.value_lengths().to_numpy()).tolist()]
+            for i, n in enumerate(batch.column("n").to_pylist()):
+                own = digests[at[i] : at[i + 1]]
+                parts = [reader.read(*place) for place in places[at[i] : at[i + 1]]]
+                if any(digest_of(raw) != digest for raw, digest in zip(parts, own, strict=True)):
                     raise ValueError("damaged chunk")
                 ids = np.frombuffer(b"".join(parts), unit).astype("<u4")
                 if len(ids) != n:
                     raise ValueError("a recipe doesn't give its document")
                 crcs.append(zlib.crc32(ids.tobytes()))
-                roots.append(merkle([c["digest"] for c in chunks]))
+                roots.append(merkle(own))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k", "start", "n")), pa.array(crcs, pa.int64()), pa.array(roots, pa.binary()), batch.column("part")], [key, "start", "n_tokens", "ids_crc32", "root", "part"])
 
     return rows.mapInArrow(run, f"`{key}` bigint, start bigint, n_tokens bigint, ids_crc32 bigint, root binary, part int")
