@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step works on; a longer text is one step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
+STEP_ROWS = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,8 +57,8 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each piece holds about step bytes of a string column."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, step: int = STEP_BYTES, rows: int = STEP_ROWS) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each piece holds about step bytes of a string column, and rows rows at most."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -65,7 +66,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, step: int = STEP_BYTE
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + step, side="right")))
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, base + step, side="right"))))
             yield batch.slice(at, to - at)
             at = to
 

@@ -102,8 +102,9 @@ def slots(sources: DataFrame, shards: int, seed: int) -> DataFrame:
     before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     reached = F.when(F.col("shard") == shards, F.col("slots")).otherwise(F.least(F.coalesce(F.sum("n").over(before), F.lit(0)), F.col("slots")))
     plan = materialize(every.select("sid", "shard", reached.alias("reached")).join(shares.select("sid", (F.col("to") - F.col("slots")).alias("base")), "sid").select("sid", "shard", "base", (F.col("base") + F.col("reached")).alias("to")), "plan")
-    held = numbers.select("id", sorted_list(plan, F.struct("to", "sid", "shard", "base")).alias("plan"))
-    held = held.select("id", F.col("plan")[_search(F.col("plan.to"), F.col("id"), n * (shards + 1))].alias("r"))
+    # two arrays, as a lambda that reads a field of an array of structs would copy the field out at every step
+    held = numbers.select("id", sorted_list(plan, "to").alias("tos"), sorted_list(plan, F.struct("to", "sid", "shard", "base")).alias("plan"))
+    held = held.select("id", F.get("plan", _search(F.col("tos"), F.col("id"), n * (shards + 1))).alias("r"))
     found = held.select("id", "r.sid", "r.shard", "r.base").join(sources.select("sid", "blocks"), "sid")
     found = found.select("sid", "shard", "blocks", F.expr("(id - base) div blocks").alias("pass"), F.expr("(id - base) % blocks").alias("block"))
     return _permute(found.withColumn("seed", F.xxhash64(F.lit(seed), "sid", "pass")), "block", "blocks", "seed").select("shard", "sid", "pass", "block")
@@ -156,6 +157,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     chosen = slots(sources, shards, seed).select("sid", "block", "pass")
     spans = _pieces(placed, block).join(chosen, ["sid", "block"]).groupBy("row", "pass").agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("__spans"))
     parts = F.regexp_extract_all(F.col(text), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice(F.col("__parts"), (s["first"] + 1).cast("int"), (s["end"] - s["first"]).cast("int")))), "")
-    held = rows.join(spans.withColumnRenamed("row", "__row"), "__row").withColumn("__parts", parts)
+    # the words are bound by a lambda of their own, so that they are cut out once for all spans
+    cut = F.transform(F.array(parts), lambda words: F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice(words, (s["first"] + 1).cast("int"), (s["end"] - s["first"]).cast("int")))), ""))[0]
+    held = rows.join(spans.withColumnRenamed("row", "__row"), "__row")
     return held.select(*(cut.alias(c) if c == text else F.col(c) for c in docs.columns))

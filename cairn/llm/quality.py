@@ -24,6 +24,8 @@ _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[32], _CLASS[10], _CLASS[128
 for _i, _marks in enumerate((".", ",", "!?", "*#", "$%&@", "|<>{}[]", ":;=", "-_/\\", "'\"()")):
     _CLASS[[ord(x) for x in _marks]] = 7 + _i
 _EXTRA = 6
+#: Texts whose term counts are held at once.
+_ROWS = 128
 TERMS = _CLASSES**3 + _EXTRA
 
 
@@ -107,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, rank: int = 32,
     chosen = parts[0].union(parts[1])  # at most twice the sample: small enough to broadcast
 
     def run(batches):
-        for batch in slices(batches, "t"):
+        for batch in slices(batches, "t", rows=_ROWS):
             rows = term_shares(batch.column("t"))
             at = [np.flatnonzero(r) for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("y"), pa.array([x.tolist() for x in at], pa.list_(pa.int32())), pa.array([r[x].tolist() for r, x in zip(rows, at, strict=True)], pa.list_(pa.float32()))], ["k", "y", "at", "value"])
@@ -137,7 +139,7 @@ def score(docs: DataFrame, voter: Voter | None, text: str = "text", key: str = "
     held = docs.sparkSession.sparkContext.broadcast(voter)  # sample, rank and number of terms bound its size
 
     def run(batches):
-        for batch in slices(batches, "__text"):
+        for batch in slices(batches, "__text", rows=_ROWS):
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(held.value.scores(term_shares(batch.column("__text"))))], [*names, "score"])
 
     return docs.select(*names, F.col(text).alias("__text")).mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in names] + ["score double"]))
