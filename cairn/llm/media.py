@@ -137,20 +137,20 @@ def _ranges(addresses: DataFrame, read, names: list[str], schema: str) -> DataFr
                         file.close()
                     fs, base = open_store(folder)
                     at, file = (folder, shard), fs.open_input_file(f"{base}/{shard}")
-                found.append((digest, *read(file, offset, length, digest)))
+                found.append(read(file, offset, length, digest))
             if found:
-                fields = dict(zip(["digest", *names], zip(*found, strict=True), strict=True))
-                yield pa.RecordBatch.from_pydict(fields)
+                fields = dict(zip(names, zip(*found, strict=True), strict=True))
+                yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in batch.schema.names} | fields)
         if file:
             file.close()
 
     parts = int(addresses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = addresses.select("digest", "folder", "shard", "offset", "length").repartitionByRange(parts, "folder", "shard", "offset")
-    return placed.sortWithinPartitions("folder", "shard", "offset").mapInArrow(run, f"digest binary, {schema}")
+    return placed.sortWithinPartitions("folder", "shard", "offset").mapInArrow(run, f"digest binary, folder string, {_ADDRESS}, {schema}")
 
 
 def headers(addresses: DataFrame) -> DataFrame:
-    """Columns digest, media_width, media_height of each address, from reads of HEADER bytes."""
+    """addresses with media_width and media_height, from reads of HEADER bytes."""
     return _ranges(addresses, lambda file, offset, length, digest: png_size(file.read_at(HEADER, offset)), ["media_width", "media_height"], "media_width bigint, media_height bigint")
 
 
@@ -164,7 +164,7 @@ def feature(samples: np.ndarray) -> str:
 
 
 def contents(addresses: DataFrame) -> DataFrame:
-    """What each address holds: digest, payload_bytes, payload_sha256, tail_crc32, media_width, media_height, feature.
+    """addresses with what each holds: payload_bytes, payload_sha256, tail_crc32, media_width, media_height, feature.
 
     Stored bytes that differ from their digest raise ValueError.
     """

@@ -49,8 +49,7 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import catalog, contents, store
 
     rows = store(table(spark, sf_dir, "documents"))
-    addresses = materialize(catalog(rows), "catalog")
-    seen = addresses.select("digest", "shard", "offset", "length").join(materialize(contents(addresses), "contents"), "digest")
+    seen = contents(catalog(rows)).drop("folder")
     return rows.select("doc_id", "n_bytes", "digest").join(seen, "digest").select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), F.lower(F.hex("digest")).alias("media_sha256"),
         "feature", "media_width", "media_height", "shard", "offset",
