@@ -9,7 +9,10 @@ part that isn't in it is encoded.
 from __future__ import annotations
 
 import base64
+import json
 import re
+import sys
+from array import array
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -31,13 +34,15 @@ class ChunkEncoder:
 
     one: ids of a text. many: ids of parts that each start with their only space. A column's parts are found and
     told apart on its bytes, by 64-bit hashes and lengths; each different part is then looked up, or encoded and
-    kept. Parts over longest bytes aren't kept; when limit parts are kept, the cache starts anew. A part that is
+    kept. Parts over longest bytes aren't kept; when limit parts are kept, they become the old ones, of which those
+    that recur are kept on, and the former old ones go. A part that is
     another one with full stops or commas after its last letter or digit is put together from both.
     """
 
-    def __init__(self, one: Callable[[str], Iterable[int]], many: Callable[[list[str]], list[bytes]], limit: int = 800_000, longest: int = 64):
+    def __init__(self, one: Callable[[str], Iterable[int]], many: Callable[[list[str]], list[bytes]], limit: int = 400_000, longest: int = 64):
         self.one, self.many, self.limit, self.longest = one, many, limit, longest
         self.kept: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.tails: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -47,13 +52,20 @@ class ChunkEncoder:
         """Keep the ids of missing parts; those of the parts that aren't kept are the result."""
         kept, extra, tailed, plain = self.kept, {}, [], {}
         for raw in missing:
+            if raw in self.old:
+                kept[raw] = self.old[raw]
+                continue
             x = raw.decode()
             if len(raw) > self.longest or x[0] != " ":
                 extra[raw] = self.whole(x)
             elif x[-1] in _TAIL and (base := x.rstrip(_TAIL))[-1].isalnum():
                 tailed.append((raw, base, x[len(base) :]))
-                if base.encode() not in kept:
-                    plain[base] = None
+                stem = base.encode()
+                if stem not in kept:
+                    if stem in self.old:
+                        kept[stem] = self.old[stem]
+                    else:
+                        plain[base] = None
             else:
                 plain[x] = None
         parts = list(plain)
@@ -74,7 +86,7 @@ class ChunkEncoder:
 
     def encode(self, column: pa.Array) -> list[np.ndarray]:
         if len(self.kept) > self.limit:
-            self.kept.clear()
+            self.old, self.kept = self.kept, {}
         data, offsets = utf8(column)
         if not len(data):
             return [np.zeros(0, "<u4")] * len(column)
@@ -124,15 +136,22 @@ def rank_encoding(path: str, pattern: str):
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         own = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         plain = own.encode_ordinary
-        _ENCODERS[path, pattern] = own, ChunkEncoder(plain, lambda parts: [np.array(plain(x), "<u4").tobytes() for x in parts], limit=200_000)
+        _ENCODERS[path, pattern] = own, ChunkEncoder(plain, lambda parts: [np.array(plain(x), "<u4").tobytes() for x in parts], limit=100_000)
     return _ENCODERS[path, pattern]
 
 
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies spell bytes: printable Latin-1 as itself, the others as characters from U+0100."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
 def file_tokenizer(path: str, group: int = 64) -> ChunkEncoder:
     """A ChunkEncoder over a tokenizers file, special tokens' strings taken as text; one per process.
 
-    Missing parts are encoded group at a time as one text; every part starts with its only space, so the ids
-    that begin with a space show where each part starts.
+    Missing parts of Latin letters go to the model one by one; others are encoded group at a time as one text, in
+    which the ids that begin with a space show where each part starts, as every part starts with its only space.
     """
     if (path, "") not in _ENCODERS:
         import os
@@ -148,16 +167,32 @@ def file_tokenizer(path: str, group: int = 64) -> ChunkEncoder:
         def one(text: str) -> list[int]:
             return own.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+        # with the plain byte-level pre-tokenizer a space and Latin letters are one piece, which the model takes as it is
+        steps = json.loads(own.to_str())
+        direct = array("I").itemsize == 4 and sys.byteorder == "little" and steps["normalizer"] is None and steps["model"]["type"] == "BPE" and steps["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        tokenize, spelled = own.model.tokenize, _byte_letters()
+
         def many(parts: list[str]) -> list[bytes]:
-            out: list[bytes] = []
-            groups = [parts[i : i + group] for i in range(0, len(parts), group)]
-            for some, done in zip(groups, own.encode_batch_fast(["".join(x) for x in groups], add_special_tokens=False), strict=True):
-                ids = np.array(done.ids, "<u4")
+            out: list[bytes | None] = [None] * len(parts)
+            rest = []
+            for i, x in enumerate(parts):
+                word = x[1:]
+                if direct and word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+                    word = word if word.isascii() else word.encode().decode("latin1").translate(spelled)
+                    out[i] = array("I", [t.id for t in tokenize(f"Ġ{word}")]).tobytes()
+                else:
+                    rest.append(i)
+            groups = [rest[i : i + group] for i in range(0, len(rest), group)]
+            done = own.encode_batch_fast(["".join(parts[i] for i in some) for some in groups], add_special_tokens=False)
+            for some, found in zip(groups, done, strict=True):
+                ids = np.array(found.ids, "<u4")
                 starts = np.flatnonzero(spaced[ids])
                 if len(starts) == len(some) and starts[0] == 0:
-                    out += [x.tobytes() for x in np.split(ids, starts[1:])]
+                    for i, x in zip(some, np.split(ids, starts[1:]), strict=True):
+                        out[i] = x.tobytes()
                 else:
-                    out += [np.array(one(x), "<u4").tobytes() for x in some]
+                    for i in some:
+                        out[i] = np.array(one(parts[i]), "<u4").tobytes()
             return out
 
         _ENCODERS[path, ""] = (ChunkEncoder(one, many),)
