@@ -7,12 +7,8 @@ expression: literals and small choices are spelled out, whatever else may stand
 
 from __future__ import annotations
 
-try:
-    from re import _constants as c
-    from re import _parser as parser
-except ImportError:  # before Python 3.11
-    import sre_constants as c
-    import sre_parse as parser
+from re import _constants as c
+from re import _parser as parser
 
 #: At most so many alternatives are spelled out; beyond, a choice counts as unknown text.
 MOST = 64
@@ -20,7 +16,7 @@ MOST = 64
 GAP = "\0"
 
 
-def _spell(tokens, folded: bool) -> list[str]:
+def _spell(tokens) -> list[str]:
     """All ways a match may read, unknown text as GAP."""
     out = [""]
     for op, arg in tokens:
@@ -29,12 +25,12 @@ def _spell(tokens, folded: bool) -> list[str]:
         elif op is c.IN:
             ways = _choice(arg)
         elif op is c.SUBPATTERN:
-            ways = _spell(arg[3], folded)
+            ways = _spell(arg[3])
         elif op is c.BRANCH:
-            ways = [w for branch in arg[1] for w in _spell(branch, folded)]
-        elif op in (c.MAX_REPEAT, c.MIN_REPEAT, getattr(c, "POSSESSIVE_REPEAT", None)):
+            ways = [w for branch in arg[1] for w in _spell(branch)]
+        elif op in (c.MAX_REPEAT, c.MIN_REPEAT, c.POSSESSIVE_REPEAT):
             low, high, inner = arg
-            once = _spell(inner, folded)
+            once = _spell(inner)
             if high == 1:
                 ways = ["", *once] if low == 0 else once
             elif low == 0:
@@ -67,7 +63,7 @@ def _crossed(left: list[str], right: list[str]) -> list[str]:
 
 def trigram_query(pattern: str) -> list[frozenset[str]]:
     """The alternatives of a pattern; an alternative that holds another is left out, as the other covers it."""
-    ways = {frozenset(run[i : i + 3] for run in way.split(GAP) for i in range(len(run) - 2)) for way in _spell(parser.parse(pattern), True)}
+    ways = {frozenset(run[i : i + 3] for run in way.split(GAP) for i in range(len(run) - 2)) for way in _spell(parser.parse(pattern))}
     if frozenset() in ways:
         return []
     return sorted((w for w in ways if not any(v < w for v in ways)), key=sorted)
