@@ -2,11 +2,11 @@
 
 A document's set is that of its five-word shingles (a shorter text has one; a text without words has none and
 links to nothing but other texts without words). Documents with equal sets are one member, so copies never meet.
-Each tree orders the members by its own sequence of minhashes; sorted, that is a prefix trie whose neighbours
-share the longest prefixes. Every member is compared with the next few in each tree, from the longest shared
-prefix down to the shortest that the target recall asks for: crowded places, as around a common passage, are
-compared on long prefixes, sparse ones on short. Candidates whose sketches are clearly too different go; the rest
-tie members to groups, and within each group all pairs are counted exactly, in tiles of bounded size.
+Each tree files the members in a prefix trie by its own sequence of minhashes; no two trees share a hash. All members
+of a trie node at the prefix length that the target recall asks for are compared with each other, however many
+they are: few ones pair by pair, crowded nodes in tiles of bounded size, where members that are already connected
+aren't compared again. Candidates whose set sizes or sketches are clearly too different go; the rest tie members
+to groups, and within each group all pairs are counted exactly, again in tiles.
 """
 
 from __future__ import annotations
@@ -25,17 +25,19 @@ from .shingles import distinct, mix, shingles, words
 
 HASHES = 128
 DEPTH = 8
+#: Members of a trie node up to which its pairs are written out; members of a crowded node's tile. Neither changes what is found.
+FEW, CROWD = 8, 2048
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def tree_order(trees: int) -> np.ndarray:
-    """Which hashes make each tree's sequence: fixed, pseudorandom, without repeats within a tree."""
-    return np.stack([np.random.default_rng(k).permutation(HASHES)[:DEPTH] for k in range(trees)])
+def tree_order(trees: int, depth: int) -> np.ndarray:
+    """Which hashes make each tree's prefix: fixed, pseudorandom, each hash in one tree at most."""
+    return np.random.default_rng(0).permutation(HASHES)[: trees * depth].reshape(trees, depth)
 
 
 def shortest_prefix(threshold: float, trees: int, recall: float) -> int:
     """The longest prefix length at which a pair of just the threshold shares it in some tree with the target recall."""
-    found = [k for k in range(1, DEPTH + 1) if 1 - (1 - threshold**k) ** trees >= recall]
+    found = [k for k in range(1, DEPTH + 1) if trees * k <= HASHES and 1 - (1 - threshold**k) ** trees >= recall]
     return max(found, default=1)
 
 
@@ -65,47 +67,47 @@ def sets_of(docs: DataFrame, text: str, key: str, width: int) -> DataFrame:
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, "k bigint, digest binary, size bigint, sig binary")
 
 
-def candidates(members: DataFrame, threshold: float, trees: int, recall: float, window: int) -> DataFrame:
-    """Columns a, b: pairs of members (columns id, sig) that are near in some tree and whose sketches allow the threshold."""
-    order, least = tree_order(trees), shortest_prefix(threshold, trees, recall)
+def near_forest(ids: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, side: np.ndarray | None, threshold: float, floor: int) -> list[tuple[int, int]]:
+    """Pairs that connect what all near pairs of the members connect, or all near pairs of members on different sides.
+
+    Near: sizes allow the threshold and floor hashes at least are equal.
+    """
+    pairs, free = [], np.ones(len(ids), bool)
+    for first in range(len(ids)):
+        if not free[first]:
+            continue
+        free[first], reach = False, [first]
+        while reach:
+            x = reach.pop()
+            to = np.flatnonzero(free if side is None else free & (side != side[x]))
+            to = to[np.minimum(sizes[to], sizes[x]) / np.maximum(sizes[to], sizes[x]) >= threshold]
+            to = to[np.count_nonzero(sigs[to] == sigs[x], axis=1) >= floor]
+            free[to] = False
+            reach.extend(to.tolist())
+            pairs += [(int(ids[x]), int(ids[y])) for y in to]
+    return pairs
+
+
+def candidates(members: DataFrame, threshold: float, trees: int, recall: float, few: int = FEW, crowd: int = CROWD) -> DataFrame:
+    """Columns a, b: pairs of members (columns id, size, sig) that connect all that share a node and whose sketches allow the threshold."""
+    least = shortest_prefix(threshold, trees, recall)
+    order = tree_order(trees, least)
 
     def run(batches):
         for batch in batches:
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
-            keys = sig[:, order].astype(">u2")  # member, tree, depth
-            n = len(sig)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.tile(np.arange(trees, dtype=np.int32), n)),
-                    pa.array([x.tobytes() for x in keys.reshape(n * trees, DEPTH)], pa.binary()),
-                    pa.array(np.repeat(batch.column("id").to_numpy(), trees)),
-                ],
-                ["tree", "path", "id"],
-            )
-
-    paths = members.select("id", "sig").mapInArrow(run, "tree int, path binary, id bigint")
-    # all tries side by side in one range-dealt sort, so that a trie node of any size spans as many tasks as it needs
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sort = paths.repartitionByRange(parts, "tree", "path", "id").sortWithinPartitions("tree", "path", "id")
-
-    def neighbours(batches):
-        tree, path, ids = np.zeros(0, np.int32), np.zeros((0, DEPTH), np.uint16), np.zeros(0, np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            tree = np.append(tree[-window:], batch.column("tree").to_numpy())
-            ids = np.append(ids[-window:], batch.column("id").to_numpy())
-            path = np.concatenate([path[-window:], np.frombuffer(b"".join(batch.column("path").to_pylist()), np.uint16).reshape(-1, DEPTH)])
-            fresh = len(ids) - batch.num_rows
-            out = []
-            for i in range(1, window + 1):
-                to = np.arange(max(i, fresh), len(ids))
-                to = to[(tree[to] == tree[to - i]) & (path[to, :least] == path[to - i, :least]).all(axis=1) & (ids[to] != ids[to - i])]
-                out.append(np.sort(np.stack([ids[to], ids[to - i]]), axis=0))
-            a, b = np.unique(np.concatenate(out, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    pairs = sort.mapInArrow(neighbours, "a bigint, b bigint").distinct()
+            # a node's number; two nodes that got the same one would only be compared in vain
+            node = np.tile(np.arange(1, trees + 1, dtype=np.uint64), (len(sig), 1))
+            for i in range(least):
+                node = mix(node * np.uint64(1 << 16) + sig[:, order[:, i]])
+            yield pa.RecordBatch.from_arrays([pa.array(node.ravel().view(np.int64)), pa.array(np.repeat(batch.column("id").to_numpy(), trees))], ["node", "id"])
+
+    paths = members.select("id", "sig").mapInArrow(run, "node bigint, id bigint")
+    counts = paths.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
+    nodes = materialize(paths.join(counts, "node"), "nodes")
+    listed = nodes.filter(F.col("n") <= few).groupBy("node").agg(F.sort_array(F.collect_list("id")).alias("x"))
+    two = F.expr("inline(flatten(transform(x, (a, i) -> transform(slice(x, i + 2, size(x)), b -> struct(a, b)))))")
+    pairs = listed.select(two).toDF("a", "b").distinct()
     # four standard deviations of the sketch's estimate below the threshold
     floor = math.floor(HASHES * (threshold - 4 * math.sqrt(threshold * (1 - threshold) / HASHES)))
 
@@ -114,8 +116,34 @@ def candidates(members: DataFrame, threshold: float, trees: int, recall: float,
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, HASHES) for c in ("sa", "sb"))
             yield batch.filter(pa.array((x == y).sum(axis=1) >= floor)).select(["a", "b"])
 
-    sa, sb = members.select(F.col("id").alias("a"), F.col("sig").alias("sa")), members.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
-    return pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(alike, "a bigint, b bigint")
+    sa, sb = (members.select(F.col("id").alias(c), F.col("size").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab")
+    fit = pairs.join(sa, "a").join(sb, "b").filter(F.least("na", "nb") / F.greatest("na", "nb") >= threshold)
+    sparse = fit.select("a", "b", "sa", "sb").mapInArrow(alike, "a bigint, b bigint")
+
+    tiles = nodes.filter(F.col("n") > few).withColumn("of", F.ceil(F.col("n") / crowd).cast("int")).withColumn("own", F.expr("cast(pmod(xxhash64(id, 7), of) as int)"))
+    placed = tiles.withColumn("other", F.explode(F.expr("sequence(0, of - 1)"))).select("id", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+
+    def within(batches):
+        at, held = None, []
+        for batch in batches:
+            for node, i, j, *rest in zip(*(batch.column(c).to_pylist() for c in ("node", "i", "j", "own", "id", "size", "sig")), strict=True):
+                if at != (node, i, j):
+                    yield from told(at, held)
+                    at, held = (node, i, j), []
+                held.append(rest)
+        yield from told(at, held)
+
+    def told(at, held):
+        if len(held) < 2:
+            return
+        own, ids, sizes = (np.array([x[c] for x in held]) for c in range(3))
+        sigs = np.frombuffer(b"".join(x[3] for x in held), np.uint16).reshape(-1, HASHES)
+        found = near_forest(ids, sizes, sigs, own if at[1] != at[2] else None, threshold, floor)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = placed.join(members.select("id", "size", "sig"), "id").repartition(parts, "node", "i", "j").sortWithinPartitions("node", "i", "j")
+    return sparse.union(dealt.select("node", "i", "j", "own", "id", "size", "sig").mapInArrow(within, "a bigint, b bigint"))
 
 
 def tile_links(left: list[tuple], right: list[tuple] | None, threshold: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
@@ -161,7 +189,7 @@ def tile_links(left: list[tuple], right: list[tuple] | None, threshold: float) -
     return n_copies, n_members, forest
 
 
-def links(docs: DataFrame, threshold: float = 0.8, width: int = 5, trees: int = 24, recall: float = 0.999999, window: int = 2, tile: int = 256, text: str = "text", key: str = "doc_id") -> DataFrame:
+def links(docs: DataFrame, threshold: float = 0.8, width: int = 5, trees: int = 24, recall: float = 0.999999, tile: int = 256, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Each document's class and links.
 
     Columns: key, class_id (the least key of all that links connect it with), set_id (the least key with the same
@@ -172,7 +200,7 @@ def links(docs: DataFrame, threshold: float = 0.8, width: int = 5, trees: int =
     """
     prints = materialize(sets_of(docs, text, key, width), "minhash")
     members = materialize(prints.filter("k is not null").groupBy("digest").agg(F.min("k").alias("id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sig").alias("sig")), "members")
-    near = candidates(members.filter("size > 0"), threshold, trees, recall, window)
+    near = candidates(members.filter("size > 0"), threshold, trees, recall)
     groups = materialize(components(near), "groups")
     counts = groups.groupBy("root").agg(F.count("*").alias("members"))
     tiles = groups.join(counts, "root").withColumn("of", F.ceil(F.col("members") / tile).cast("int")).withColumn("own", F.expr("cast(pmod(xxhash64(id, 7), of) as int)"))

@@ -80,6 +80,39 @@ def test_near_copies_in_tiles(make):
     assert got[103].set_id == 102 and got[105].class_id == 105
 
 
+def test_all_members_of_a_node_are_compared(spark):
+    """Members that share every prefix but not the sketch stand between a near pair; it is found whichever way a node is worked on."""
+    import numpy as np
+
+    least = lsh_forest.shortest_prefix(0.8, 24, 0.999999)
+    same, rng = lsh_forest.tree_order(24, least).ravel(), np.random.default_rng(8)
+    assert least == 3 and len(set(same.tolist())) == 72
+    sigs = rng.integers(0, 1 << 16, (40, lsh_forest.HASHES), np.uint16)
+    sigs[:, same] = sigs[0, same]
+    sigs[39] = sigs[0]
+    sigs[39, np.setdiff1d(np.arange(lsh_forest.HASHES), same)[:30]] += 1
+    sizes = [100] * 38 + [10, 100]
+    members = spark.createDataFrame([(i, n, bytearray(x.tobytes())) for i, (n, x) in enumerate(zip(sizes, sigs, strict=True))], "id bigint, size bigint, sig binary")
+    for few, crowd in ((8, 2048), (8, 6), (64, 2048)):
+        found = lsh_forest.candidates(members, 0.8, 24, 0.999999, few, crowd)
+        assert {tuple(sorted(r)) for r in found.collect()} == {(0, 39)}
+
+
+def test_near_pair_in_a_crowd_is_found(spark):
+    """Two members of mostly a common passage, and thousands that hold half of it: between the two in every sorted trie."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    base, sigs = rng.integers(0, 1 << 16, lsh_forest.HASHES, np.uint16), rng.integers(0, 1 << 16, (4000, lsh_forest.HASHES), np.uint16)
+    own = rng.random(sigs.shape) < 0.5
+    own[[0, 3999]] = False
+    own[0, (other := rng.permutation(lsh_forest.HASHES))[:13]] = own[3999, other[13:26]] = True
+    sigs = np.where(own, sigs, base)
+    members = spark.createDataFrame([(i, 100, bytearray(x.tobytes())) for i, x in enumerate(sigs)], "id bigint, size bigint, sig binary")
+    root = {r.id: r.root for r in components(lsh_forest.candidates(members, 0.8, 24, 0.999999, 2)).collect()}
+    assert root.get(0, -1) == root.get(3999, -2)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (10, 9), (9, 8), (8, 7), (7, 6), (5, 5)]
     assert rows(components(spark.createDataFrame(edges, "a bigint, b bigint"))) == sorted([(1, 1), (2, 1), (3, 1), *((i, 6) for i in range(6, 11))], key=repr)
