@@ -17,15 +17,22 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Also near_prints: for each doc_id divisible by 20, the other fingerprints at most 3 bits from its own."""
-    from .simhash import edited_fingerprints, within
+    """Also, for each doc_id divisible by 20: near_prints, the other fingerprints at most 3 bits from its own, and
+    near_docs, the doc_ids in order of all documents whose other fingerprints are at most NEAR_BITS from its own."""
+    from .simhash import NEAR_BITS, edited_fingerprints, within_scan
 
     prints = materialize(edited_fingerprints(table(spark, sf_dir, "documents")), "simhash")
     asked = F.col("doc_id") % 20 == 0
-    found = within(prints.filter(asked), prints, radius=3).groupBy(F.col("a").alias("fingerprint")).agg(F.count("*").alias("n"))
-    return prints.join(found, "fingerprint", "left").select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.when(asked, F.coalesce("n", F.lit(0))).alias("near_prints")
-    )
+    pairs = materialize(within_scan(prints.filter(asked), prints, NEAR_BITS), "near")
+    found = pairs.filter("distance <= 3").groupBy(F.col("a").alias("fingerprint")).agg(F.count("*").alias("n"))
+    ids = prints.select(F.col("fingerprint").alias("b"), F.col("doc_id").alias("x"))
+    near = pairs.join(ids, "b").groupBy(F.col("a").alias("fingerprint")).agg(F.sort_array(F.collect_list("x")).alias("near"))
+    # arrays meet the documents asked about only
+    full = prints.filter(asked).join(found, "fingerprint", "left").join(near, "fingerprint", "left")
+    columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    none = F.array().cast("array<bigint>")
+    rest = prints.filter(~F.coalesce(asked, F.lit(False))).select(*columns, F.lit(None).cast("bigint").alias("near_prints"), F.lit(None).cast("array<bigint>").alias("near_docs"))
+    return full.select(*columns, F.coalesce("n", F.lit(0)).alias("near_prints"), F.coalesce("near", none).alias("near_docs")).union(rest)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

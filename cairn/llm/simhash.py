@@ -20,6 +20,8 @@ from .order import bucket_of, dealt, id_bounds
 from .shingles import mix, shingles, words
 
 BITS = 128
+#: Bits in which near copies (likeness 0.8 of shingle sets) differ at most, but for few; unrelated texts differ in about 64.
+NEAR_BITS = 28
 #: A byte's eight bits as eight counters of one byte each, so that adding 64-bit words counts eight bits at once.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
@@ -79,6 +81,43 @@ def within(queries: DataFrame, prints: DataFrame, radius: int, agree: int = 1) -
     return pairs.withColumn("distance", distance("a", "b")).filter(F.col("distance") <= radius).select("a", "b", "distance").distinct()
 
 
+def within_scan(queries: DataFrame, prints: DataFrame, radius: int, most: int = 32768) -> DataFrame:
+    """What within() returns, for radii too wide for block tables: every pair is compared, in tiles of about most by most fingerprints."""
+
+    def parted(df: DataFrame, side: int) -> tuple[DataFrame, int]:
+        df = df.select("fingerprint").filter("fingerprint is not null").distinct()
+        n = -(-df.count() // most) or 1
+        return df.select("fingerprint", F.lit(side).alias("side"), F.expr(f"cast(pmod(xxhash64(fingerprint, {side}), {n}) as int)").alias("own")), n
+
+    (left, rows), (right, columns) = parted(queries, 0), parted(prints, 1)
+    left = left.select("fingerprint", "side", F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("j"))
+    right = right.select("fingerprint", "side", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("i"), F.col("own").alias("j"))
+
+    def run(batches):
+        at, held = None, ([], [])
+        for batch in batches:
+            for i, j, side, x in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "side", "fingerprint")), strict=True):
+                if at != (i, j):
+                    yield from told(*held)
+                    at, held = (i, j), ([], [])
+                held[side].append(x)
+        yield from told(*held)
+
+    def told(a, b):
+        if not a or not b:
+            return
+        x, y = (np.frombuffer(bytes.fromhex("".join(s)), np.uint64).reshape(-1, 2) for s in (a, b))
+        for low in range(0, len(y), 8192):
+            y0, y1 = np.ascontiguousarray(y[low : low + 8192].T)
+            for k, (x0, x1) in enumerate(x):
+                d = np.bitwise_count(y0 ^ x0) + np.bitwise_count(y1 ^ x1)
+                if len(to := np.flatnonzero((d <= radius) & (d > 0))):
+                    yield pa.RecordBatch.from_arrays([pa.array([a[k]] * len(to)), pa.array([b[low + q] for q in to]), pa.array(d[to].astype(np.int32))], ["a", "b", "distance"])
+
+    parts = max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows * columns)
+    return left.union(right.select(left.columns)).repartition(parts, "i", "j").sortWithinPartitions("i", "j").mapInArrow(run, "a string, b string, distance int")
+
+
 def edited_fingerprints(docs: DataFrame, parts: int | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Fingerprints of each text and of its edited text, in which the last third gives way to the next text's start.
 
