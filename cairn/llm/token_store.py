@@ -26,8 +26,8 @@ from .common import delete_path, fresh_path, materialize, open_store, slices
 from .order import bucket_of, dealt, id_bounds
 from .shingles import mix
 
-LEAST, MASK, MOST = 256, np.uint64(1023), 8192
-_WINDOW = 8
+LEAST, MASK, MOST = 64, np.uint64(255), 4096
+_WINDOW = 16
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(_WINDOW)], np.uint64)
 
 

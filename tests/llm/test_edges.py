@@ -236,3 +236,19 @@ def test_tar_shards_are_tar(make, tmp_path):
     rows_ = media.store(make((1, "a"), (2, "a"), (3, "b")), folder=str(tmp_path / "m")).collect()
     names = [m.name for shard in (tmp_path / "m").iterdir() for m in tarfile.open(shard).getmembers()]
     assert set(names) == {f"{r.digest.hex()}.png" for r in rows_}
+
+
+def test_chunks_share_passages():
+    """A passage of 500 ids inside documents of usual length (some 650 ids) is mostly stored once."""
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    total, stored = 0, {}
+    for _ in range(40):
+        passage = rng.integers(0, 50000, 500)
+        for _ in range(2):
+            ids = np.concatenate([rng.integers(0, 50000, rng.integers(50, 100)), passage, rng.integers(0, 50000, rng.integers(50, 100))]).astype("<u2")
+            bounds = [0, *token_store.cuts(ids)]
+            total += len(ids)
+            stored |= {ids[a:b].tobytes(): b - a for a, b in zip(bounds, bounds[1:])}
+    assert sum(stored.values()) < 0.95 * total
