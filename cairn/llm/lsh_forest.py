@@ -41,6 +41,14 @@ def shortest_prefix(threshold: float, trees: int, recall: float) -> int:
     return max(found, default=1)
 
 
+def sketch_floor(threshold: float, trees: int, depth: int, recall: float) -> int:
+    """The most equal hashes to ask of a pair, so that trees and sketch together find one of just the threshold with the target recall."""
+    missed, floor = (1 - threshold**depth) ** trees, 0
+    while floor < HASHES and (missed := missed + math.comb(HASHES, floor) * threshold**floor * (1 - threshold) ** (HASHES - floor)) <= 1 - recall:
+        floor += 1
+    return floor
+
+
 def signatures(runs: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The least 16 bits of HASHES hash functions over each text's shingles; texts without shingles have 0xFFFF."""
     full = np.flatnonzero(np.diff(at))
@@ -108,8 +116,7 @@ def candidates(members: DataFrame, threshold: float, trees: int, recall: float,
     listed = nodes.filter(F.col("n") <= few).groupBy("node").agg(F.sort_array(F.collect_list("id")).alias("x"))
     two = F.expr("inline(flatten(transform(x, (a, i) -> transform(slice(x, i + 2, size(x)), b -> struct(a, b)))))")
     pairs = listed.select(two).toDF("a", "b").distinct()
-    # four standard deviations of the sketch's estimate below the threshold
-    floor = math.floor(HASHES * (threshold - 4 * math.sqrt(threshold * (1 - threshold) / HASHES)))
+    floor = sketch_floor(threshold, trees, least, recall)
 
     def alike(batches):
         for batch in batches:

@@ -252,3 +252,13 @@ def test_chunks_share_passages():
             total += len(ids)
             stored |= {ids[a:b].tobytes(): b - a for a, b in zip(bounds, bounds[1:])}
     assert sum(stored.values()) < 0.95 * total
+
+
+def test_sketch_floor_and_trees_meet_the_recall():
+    from math import comb
+
+    least = lsh_forest.shortest_prefix(0.8, 24, 0.999999)
+    floor = lsh_forest.sketch_floor(0.8, 24, least, 0.999999)
+    under = lambda n: sum(comb(128, k) * 0.8**k * 0.2 ** (128 - k) for k in range(n))
+    missed = (1 - 0.8**least) ** 24
+    assert floor == 79 and missed + under(floor) <= 1e-6 < missed + under(floor + 1)
