@@ -2,7 +2,7 @@
 
 Templates are short word sequences, some of whose words are mandatory key phrases. Every text is reduced to the
 places of its licence words (words of some template). A word's rarity is its inverse document frequency over all
-texts. Each template is indexed under its rarest words only; a text's licence words are looked up there, each hit
+texts. Each template is indexed under the rarest words of its mandatory phrase only, which every accepted place holds; a text's licence words are looked up there, each hit
 proposing the template at the relative position text place - template place, and the postings of the template's
 other words are intersected at that same relative position. A template of the base kind must be there word for
 word; another needs its mandatory phrase word for word and most of its words.
@@ -78,7 +78,7 @@ def scan(docs: DataFrame, base: tuple[Template, ...] = BASE, notices: tuple[Temp
     Null texts count as empty: no words, no places, empty labels, score 0. n_base counts the places of base
     templates, first_word and last_word their least and largest start (null without any). labels hold the base
     labels and those of the notices found. score: the largest share of a found template's words, so 1 with a base
-    place. anchors: how many of a notice's rarest words index it; any one of them proposes the template.
+    place. anchors: how many of the rarest words of a notice's mandatory phrase index it; any one of them proposes the template.
     """
     templates = base + notices
     split = [t.words.split() for t in templates]
@@ -92,7 +92,7 @@ def scan(docs: DataFrame, base: tuple[Template, ...] = BASE, notices: tuple[Temp
     for t, (template, words) in enumerate(zip(templates, split, strict=True)):
         must = template.phrase.split()
         at = next(i for i in range(len(words)) if words[i : i + len(must)] == must)
-        by_rarity = sorted(range(len(words)), key=lambda i: (-idf[number[words[i]]], i))
+        by_rarity = sorted(range(at, at + len(must)), key=lambda i: (-idf[number[words[i]]], i))
         anchor = {words[i] for i in by_rarity[: 1 if template.base else anchors]}
         rare |= {number[w] for w in anchor}
         posted += [(number[w], t, i, at <= i < at + len(must), w in anchor) for i, w in enumerate(words)]

@@ -262,3 +262,7 @@ def test_sketch_floor_and_trees_meet_the_recall():
     under = lambda n: sum(comb(128, k) * 0.8**k * 0.2 ** (128 - k) for k in range(n))
     missed = (1 - 0.8**least) ** 24
     assert floor == 79 and missed + under(floor) <= 1e-6 < missed + under(floor + 1)
+
+
+def test_licence_without_its_rarest_words(make):
+    assert licenses.scan(make((1, "this is now granted free of charge to any person getting a copy of this software"))).first().labels == "mit"
