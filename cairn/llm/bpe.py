@@ -13,13 +13,21 @@ from .chunks import rank_encoding
 from .common import slices
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = True, digests: bool = False) -> DataFrame:
+def verify_decoded(own, coded: list[np.ndarray], texts: pa.Array) -> None:
+    """Raise ValueError unless each text's ids decode to its bytes; null counts as empty."""
+    for x, text in zip(coded, texts.to_pylist(), strict=True):
+        if own.decode_bytes(x.tolist()) != (text or "").encode():
+            raise ValueError("ids don't decode to their text")
+
+
+def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = True, digests: bool = False, verify: bool = False) -> DataFrame:
     """Columns keep, n_tokens, and ids (array of int) or ids_sha256 and decoded_sha256, one row per input row.
 
     ranks: path of a rank file that every executor can read; pattern: the pre-tokenizer's regular expression.
     Every match of pattern is encoded by itself, special tokens' strings as ordinary text. A null text counts as
     empty and has no ids; repeated rows stay; columns of docs not named in keep are left out, whatever their names;
-    long texts are cut where the pattern starts a new piece in any case.
+    long texts are cut where the pattern starts a new piece in any case. verify: decode each row's ids and raise
+    ValueError if they don't give the text's bytes.
     """
     kinds = {f.name: f.dataType for f in docs.schema.fields}
     out = [f"`{c}` {kinds[c].simpleString()}" for c in keep]
@@ -29,6 +37,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", keep:
         own, encoder = rank_encoding(ranks, pattern)
         for batch in slices(batches, "__text"):
             coded = encoder.encode(batch.column("__text"))
+            if verify:
+                verify_decoded(own, coded, batch.column("__text"))
             columns = [batch.column(c) for c in keep] + [pa.array([len(x) for x in coded], pa.int64())]
             names = [*keep, "n_tokens"]
             if ids:

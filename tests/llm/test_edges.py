@@ -266,3 +266,17 @@ def test_sketch_floor_and_trees_meet_the_recall():
 
 def test_licence_without_its_rarest_words(make):
     assert licenses.scan(make((1, "this is now granted free of charge to any person getting a copy of this software"))).first().labels == "mit"
+
+
+def test_pipeline_decodes_what_it_encoded(make, monkeypatch):
+    import corpus_pipeline
+
+    own, asked = bpe.encode, []
+    monkeypatch.setattr(bpe, "encode", lambda *a, **b: asked.append(b.get("verify")) or own(*a, **b))
+    assert corpus_pipeline.encode_tokens(None, make(*ODD), "").count() == len(ODD) and asked == [True]
+    ranks, encoder = bpe.rank_encoding(RANKS, public_tokenizers.PATTERN)
+    texts = pa.array(["one two", None, "é"])
+    coded = encoder.encode(texts)
+    bpe.verify_decoded(ranks, coded, texts)
+    with pytest.raises(ValueError, match="decode"):
+        bpe.verify_decoded(ranks, coded[::-1], texts)
