@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import rank_encoding
+from .chunks import STEP, rank_encoding
 from .common import slices
 
 
@@ -26,7 +26,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", keep:
     ranks: path of a rank file that every executor can read; pattern: the pre-tokenizer's regular expression.
     Every match of pattern is encoded by itself, special tokens' strings as ordinary text. A null text counts as
     empty and has no ids; repeated rows stay; columns of docs not named in keep are left out, whatever their names;
-    long texts are cut where the pattern starts a new piece in any case. verify: decode each row's ids and raise
+    texts are cut where the pattern starts a new piece in any case, or not at all if it isn't chunks.PATTERN. verify: decode each row's ids and raise
     ValueError if they don't give the text's bytes.
     """
     kinds = {f.name: f.dataType for f in docs.schema.fields}
@@ -35,7 +35,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", keep:
 
     def run(batches):
         own, encoder = rank_encoding(ranks, pattern)
-        for batch in slices(batches, "__text"):
+        for batch in slices(batches, "__text", STEP):
             coded = encoder.encode(batch.column("__text"))
             if verify:
                 verify_decoded(own, coded, batch.column("__text"))

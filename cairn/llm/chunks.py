@@ -1,134 +1,144 @@
-"""Byte-level BPE over cached chunks.
+"""Byte-level BPE over cached parts.
 
-The vocabulary's pre-tokenizer starts a new piece at every space that a non-space follows, whatever stands before
-it, so a text may be cut there and the parts encoded apart: the ids are those of the whole text. Most parts are
-single words, which recur; each is encoded once by the library and then looked up. The cache only saves time: a
-part that isn't in it is encoded.
+A text is cut only where the vocabulary's pre-tokenizer starts a new piece in any case: at a space that a non-space
+follows, whatever stands before it; before and after a line end between characters that aren't white space; before
+an ASCII mark that a letter or digit precedes. The parts are encoded apart: their ids together are those of the whole
+text. Most parts are single words, which recur; each is encoded once by the library and then looked up by its
+characters. The cache only saves time: a part that isn't in it is encoded.
 """
 
 from __future__ import annotations
 
 import base64
+import gc
 import json
-import re
+import string
 import sys
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 
 from .common import utf8
-from .shingles import span_hashes
 
-_SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Marks that, after a letter or digit, make a piece of their own.
-_TAIL = ".,"
-#: Bytes that a white-space character may start with.
-_MAYBE_SPACE = np.zeros(256, bool)
-_MAYBE_SPACE[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+#: Fixed value: the pre-tokenizer's regular expression for which the cuts hold.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Bytes of text to encode at a time: the more, the more parts are found to be equal before the cache is asked.
+STEP = 4 << 20
+
+_SPACES = np.zeros(256, bool)
+_SPACES[[*range(9, 14), *range(28, 33)]] = True
+#: Bytes that begin a character which is certainly not white space.
+_SOLID = ~_SPACES
+_SOLID[[0xC2, 0xE1, 0xE2, 0xE3]] = False
+_MARKS = np.zeros(256, bool)
+_MARKS[[ord(x) for x in string.punctuation]] = True
+#: ASCII letters and digits.
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[ord(x) for x in string.ascii_letters + string.digits]] = True
+
+
+def _space_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a white-space character, or one that some Unicode versions take for it, starts at each place."""
+    a, b, c = (np.concatenate([data, np.zeros(3, np.uint8)])[at + i] for i in range(3))
+    two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+    general = (a == 0xE2) & (((b == 0x80) & ((c <= 0x8B) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))) | ((b == 0x81) & (c == 0x9F)))
+    other = ((a == 0xE1) & (((b == 0x9A) & (c == 0x80)) | ((b == 0xA0) & (c == 0x8E)))) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
+    return _SPACES[a] | two | general | other
+
+
+def part_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the parts of all texts start; data holds their bytes end to end."""
+    begins = np.zeros(len(data) + 1, bool)
+    last = np.zeros(len(data) + 1, bool)  # places right after a text's last byte
+    last[offsets[1:]] = True
+    spaces = np.flatnonzero(data == 32)
+    spaces = spaces[~last[spaces + 1]]
+    begins[spaces[~_space_at(data, spaces + 1)]] = True
+    begins[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+    lines = np.flatnonzero(data == 10)
+    first = np.zeros(len(data) + 1, bool)
+    first[offsets] = True
+    before = np.where(first[lines], ord("x"), data[lines - 1])
+    after = np.where(last[lines + 1], ord("x"), data[np.minimum(lines + 1, len(data) - 1)])
+    lines = lines[(before < 128) & ~_SPACES[before] & _SOLID[after]]
+    begins[lines] = True
+    begins[lines + 1] = True
+    marks = np.flatnonzero(_MARKS[data])
+    marks = marks[~first[marks]]
+    one, two = data[marks - 1], data[np.maximum(marks - 2, 0)]
+    begins[marks[_PLAIN[one] | ((two == 0xC3) & (one >= 0x80) & (one != 0x97) & (one != 0xB7)) | (((two == 0xC4) | (two == 0xC5)) & (one >= 0x80))]] = True
+    return np.flatnonzero(begins[:-1])
 
 
 class ChunkEncoder:
     """encode(column) gives each text's ids as an array of unsigned 32-bit integers.
 
-    one: ids of a text. many: ids of parts that each start with their only space. A column's parts are found and
-    told apart on its bytes, by 64-bit hashes and lengths; each different part is then looked up, or encoded and
-    kept. Parts over longest bytes aren't kept; when limit parts are kept, they become the old ones, of which those
-    that recur are kept on, and the former old ones go. A part that is
-    another one with full stops or commas after its last letter or digit is put together from both.
+    many: ids of each of some strings, as bytes of little-endian 32-bit integers. whole: whether texts must not be cut.
+    A column's parts are told apart by their bytes; each different one is then looked up, or encoded and kept. Parts
+    over longest characters aren't kept; when limit parts are kept, they become the old ones, of which those that
+    recur are kept on, and the former old ones go.
     """
 
-    def __init__(self, one: Callable[[str], Iterable[int]], many: Callable[[list[str]], list[bytes]], limit: int = 400_000, longest: int = 64):
-        self.one, self.many, self.limit, self.longest = one, many, limit, longest
-        self.kept: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.fromiter(self.one(text), "<u4").tobytes() if text else b""
-
-    def _learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
-        """Keep the ids of missing parts; those of the parts that aren't kept are the result."""
-        kept, extra, tailed, plain = self.kept, {}, [], {}
-        for raw in missing:
-            if raw in self.old:
-                kept[raw] = self.old[raw]
-                continue
-            x = raw.decode()
-            if len(raw) > self.longest or x[0] != " ":
-                extra[raw] = self.whole(x)
-            elif x[-1] in _TAIL and (base := x.rstrip(_TAIL))[-1].isalnum():
-                tailed.append((raw, base, x[len(base) :]))
-                stem = base.encode()
-                if stem not in kept:
-                    if stem in self.old:
-                        kept[stem] = self.old[stem]
-                    else:
-                        plain[base] = None
-            else:
-                plain[x] = None
-        parts = list(plain)
-        kept.update(zip([x.encode() for x in parts], self.many(parts), strict=True))
-        for raw, base, tail in tailed:
-            if tail not in self.tails:
-                self.tails[tail] = self.whole(tail)
-            kept[raw] = kept[base.encode()] + self.tails[tail]
-        return extra
-
-    def _slow(self, text: str) -> np.ndarray:
-        head, *rest = _SAFE_CUT.split(text)
-        parts = [self.whole(head)]
-        for x in rest:
-            known = self.kept.get(f" {x}".encode())
-            parts.append(self.whole(f" {x}") if known is None else known)
-        return np.frombuffer(b"".join(parts), "<u4")
+    def __init__(self, many: Callable[[list[str]], list[bytes]], limit: int = 400_000, longest: int = 64, whole: bool = False):
+        self.many, self.limit, self.longest, self.uncut = many, limit, longest, whole
+        self.kept: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _learn(self, missing: list[str]) -> dict[str, bytes]:
+        """Keep the ids of missing parts; those of the parts that are too long are the result."""
+        kept, old, longest = self.kept, self.old, self.longest
+        recalled = {x: old[x] for x in missing if x in old} if old else {}
+        kept |= recalled
+        fresh = [x for x in missing if len(x) <= longest and x not in recalled]
+        kept.update(zip(fresh, self.many(fresh), strict=True))
+        long = [x for x in missing if len(x) > longest]
+        return dict(zip(long, self.many(long), strict=True))
 
     def encode(self, column: pa.Array) -> list[np.ndarray]:
+        if self.uncut:
+            return [np.frombuffer(x, "<u4") for x in self.many(["" if x is None else x for x in column.to_pylist()])]
+        gc.disable()  # so many small objects that last would be gone through again and again
+        try:
+            return self._encode(column)
+        finally:
+            gc.enable()
+
+    def _encode(self, column: pa.Array) -> list[np.ndarray]:
         if len(self.kept) > self.limit:
             self.old, self.kept = self.kept, {}
         data, offsets = utf8(column)
         if not len(data):
             return [np.zeros(0, "<u4")] * len(column)
-        # a part starts at every space and at every text's first byte
-        begins = data == 32
-        at = np.flatnonzero(begins)
-        begins[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
-        starts = np.flatnonzero(begins)
-        ends = np.append(starts[1:], len(data))
-        # texts with a space that no non-space follows: there it isn't a place to cut
-        texts_end = np.zeros(len(data) + 1, bool)
-        texts_end[offsets] = True
-        doubtful = at[texts_end[at + 1] | _MAYBE_SPACE[data[np.minimum(at + 1, len(data) - 1)]]]
-        unsafe = {int(np.searchsorted(offsets, i, side="right")) - 1 for i in doubtful if texts_end[i + 1] or data[i + 1 : i + 5].tobytes().decode(errors="ignore")[0].isspace()}
-        hashes = span_hashes(data, starts, ends) + (ends - starts).astype(np.uint64)
-        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        keys = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        starts = part_starts(data, offsets)
+        bounds = np.append(starts, len(data)).astype(np.int64)
+        parts = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        which = parts.indices.to_numpy()
+        keys = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.kept.get, keys))
-        spaced = {k for k in keys if k[0] == 32 and (len(k) == 1 or k[1:5].decode(errors="ignore")[:1].isspace())} if unsafe else ()
-        extra = self._learn([k for k, v in zip(keys, found, strict=True) if v is None and k not in spaced])
-        for i, v in enumerate(found):
-            if v is None:
-                k = keys[i]
-                found[i] = self.kept[k] if k in self.kept else extra.get(k, b"")
+        missing = [i for i, v in enumerate(found) if v is None]
+        extra = self._learn([keys[i] for i in missing])
+        for i in missing:
+            k = keys[i]
+            found[i] = extra[k] if k in extra else self.kept[k]
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat, base = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
         counts = sizes[which]
         to = np.concatenate([[0], np.cumsum(counts)])
         ids = flat[np.repeat(base[which] - to[:-1], counts) + np.arange(to[-1])]
-        bounds = to[np.searchsorted(starts, offsets)].tolist()
-        out = [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
-        for i in unsafe:
-            out[i] = self._slow(raw[offsets[i] : offsets[i + 1]].decode())
-        return out
+        ends = to[np.searchsorted(starts, offsets)].tolist()
+        return [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 _ENCODERS: dict[tuple[str, str], tuple] = {}
 
 
 def rank_encoding(path: str, pattern: str):
-    """The tiktoken encoding of a local rank file, and a ChunkEncoder over it; one of each per process."""
+    """The tiktoken encoding of a local rank file, and a ChunkEncoder over it; one of each per process.
+
+    With another pattern than PATTERN texts aren't cut: the library gets them whole.
+    """
     if (path, pattern) not in _ENCODERS:
         import tiktoken
 
@@ -136,7 +146,7 @@ def rank_encoding(path: str, pattern: str):
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         own = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         plain = own.encode_ordinary
-        _ENCODERS[path, pattern] = own, ChunkEncoder(plain, lambda parts: [np.array(plain(x), "<u4").tobytes() for x in parts], limit=100_000)
+        _ENCODERS[path, pattern] = own, ChunkEncoder(lambda parts: [np.array(plain(x), "<u4").tobytes() for x in parts], limit=100_000, whole=pattern != PATTERN)
     return _ENCODERS[path, pattern]
 
 
@@ -147,11 +157,11 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(others)}
 
 
-def file_tokenizer(path: str, group: int = 64) -> ChunkEncoder:
+def file_tokenizer(path: str) -> ChunkEncoder:
     """A ChunkEncoder over a tokenizers file, special tokens' strings taken as text; one per process.
 
-    Missing parts of Latin letters go to the model one by one; others are encoded group at a time as one text, in
-    which the ids that begin with a space show where each part starts, as every part starts with its only space.
+    Latin words go straight to the file's model, as they are one piece; other parts go through the whole tokenizer.
+    Files with another pre-tokenizer or model than the plain byte-level ones get whole texts.
     """
     if (path, "") not in _ENCODERS:
         import os
@@ -161,39 +171,24 @@ def file_tokenizer(path: str, group: int = 64) -> ChunkEncoder:
 
         own = Tokenizer.from_file(path)
         own.encode_special_tokens = True
-        spaced = np.zeros(max(own.get_vocab(with_added_tokens=True).values()) + 1, bool)
-        spaced[[i for token, i in own.get_vocab(with_added_tokens=False).items() if token.startswith("Ġ")]] = True
-
-        def one(text: str) -> list[int]:
-            return own.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-        # with the plain byte-level pre-tokenizer a space and Latin letters are one piece, which the model takes as it is
         steps = json.loads(own.to_str())
-        direct = array("I").itemsize == 4 and sys.byteorder == "little" and steps["normalizer"] is None and steps["model"]["type"] == "BPE" and steps["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        cut = steps["normalizer"] is None and steps["model"]["type"] == "BPE" and steps["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        small = array("I").itemsize == 4 and sys.byteorder == "little"
         tokenize, spelled = own.model.tokenize, _byte_letters()
 
         def many(parts: list[str]) -> list[bytes]:
-            out: list[bytes | None] = [None] * len(parts)
-            rest = []
+            out, rest = [b""] * len(parts), []
             for i, x in enumerate(parts):
-                word = x[1:]
-                if direct and word.isalpha() and (word.isascii() or max(word) < "\u0250"):
-                    word = word if word.isascii() else word.encode().decode("latin1").translate(spelled)
-                    out[i] = array("I", [t.id for t in tokenize(f"Ġ{word}")]).tobytes()
+                word = x[1:] if x[:1] == " " else x
+                if cut and small and word.isalpha() and (word.isascii() or max(word) < "ɐ"):
+                    if not x.isascii():
+                        word = word.encode().decode("latin1").translate(spelled)
+                    out[i] = array("I", [t.id for t in tokenize(f"Ġ{word}" if x[0] == " " else word)]).tobytes()
                 else:
                     rest.append(i)
-            groups = [rest[i : i + group] for i in range(0, len(rest), group)]
-            done = own.encode_batch_fast(["".join(parts[i] for i in some) for some in groups], add_special_tokens=False)
-            for some, found in zip(groups, done, strict=True):
-                ids = np.array(found.ids, "<u4")
-                starts = np.flatnonzero(spaced[ids])
-                if len(starts) == len(some) and starts[0] == 0:
-                    for i, x in zip(some, np.split(ids, starts[1:]), strict=True):
-                        out[i] = x.tobytes()
-                else:
-                    for i in some:
-                        out[i] = np.array(one(parts[i]), "<u4").tobytes()
+            for i, found in zip(rest, own.encode_batch_fast([parts[i] for i in rest], add_special_tokens=False), strict=True):
+                out[i] = np.array(found.ids, "<u4").tobytes()
             return out
 
-        _ENCODERS[path, ""] = (ChunkEncoder(one, many),)
+        _ENCODERS[path, ""] = (ChunkEncoder(many, whole=not cut),)
     return _ENCODERS[path, ""][0]
