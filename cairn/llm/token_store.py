@@ -1,11 +1,13 @@
 """Token-id output: a content-addressed store of id chunks with document recipes and Merkle manifests.
 
 Id streams are cut where a rolling hash of the last ids says so, so equal passages give equal chunks. A chunk is
-named by its digest and stored once; a document's recipe lists its chunks; a manifest per part holds the Merkle
-root of its documents' roots, each the root of its chunks' digests. Reading verifies chunk, document and part.
+named by its digest and stored once; a document's recipe lists its chunks and holds their Merkle root; a manifest
+per part holds the Merkle root of its documents' roots, and the store's root is that of its parts. Reading digests
+the stored bytes anew and compares every level: chunks with their names, documents with their recipes' roots, parts
+with their manifests, and the manifests with the store's root.
 
 Files, all in one folder: spool files (scratch) take what encoding tasks produce; packs hold the unique chunks in
-ascending key order, as zstd frames of some hundred KB; recipes and manifests are tables. An address is a pack, a
+ascending key order, as zstd frames of some ten KB; recipes and manifests are tables. An address is a pack, a
 frame's offset and length in it, and a chunk's offset and length within the frame.
 """
 
@@ -21,25 +23,45 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import file_tokenizer
+from .chunks import STEP, file_tokenizer
 from .common import delete_path, fresh_path, materialize, open_store, slices
 from .order import bucket_of, dealt, id_bounds
 from .shingles import mix
 
 LEAST, MASK, MOST = 64, np.uint64(255), 4096
 _WINDOW = 16
-_FACTORS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(_WINDOW)], np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+#: Ids whose rolling hashes are computed at a time.
+_STRETCH = 1 << 16
+_UP, _DOWN = _powers(_BASE, _STRETCH), _powers(_INVERSE, _STRETCH)
+
+
+def _marks(ids: np.ndarray) -> np.ndarray:
+    """Ends of all windows of _WINDOW ids whose hash has MASK's bits all 0."""
+    out = []
+    for low in range(0, max(1, len(ids) - _WINDOW + 1), _STRETCH - _WINDOW):
+        x = mix(ids[low : low + _STRETCH].astype(np.uint64) + np.uint64(1))
+        total = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(x * _UP[: len(x)], out=total[1:])
+        rolled = (total[_WINDOW:] - total[:-_WINDOW]) * _DOWN[: len(x) - _WINDOW + 1]
+        out.append(np.flatnonzero((rolled >> np.uint64(32)) & MASK == 0) + (low + _WINDOW))
+    return np.unique(np.concatenate(out))
 
 
 def cuts(ids: np.ndarray) -> list[int]:
     """Ends of a stream's chunks: where the hash of the last _WINDOW ids has MASK's bits all 0, LEAST to MOST ids apart."""
     if len(ids) <= LEAST:
         return [len(ids)] if len(ids) else []
-    x = mix(ids.astype(np.uint64) + np.uint64(1))
-    rolled = np.zeros(len(ids) - _WINDOW + 1, np.uint64)
-    for i, factor in enumerate(_FACTORS):
-        rolled += x[i : i + len(rolled)] * factor
-    marks = np.flatnonzero((rolled >> np.uint64(32)) & MASK == 0) + _WINDOW
+    marks = _marks(ids)
     out, at, k = [], 0, 0
     while len(ids) - at > LEAST:
         k = int(np.searchsorted(marks, at + LEAST))
@@ -69,7 +91,7 @@ class PackWriter:
     add() gives a string's number; once closed, places[number] is (frame offset, frame length, offset, length).
     """
 
-    def __init__(self, folder: str, name: str, frame: int = 256 << 10):
+    def __init__(self, folder: str, name: str, frame: int = 64 << 10):
         import zstandard
 
         self.folder, self.name, self.frame = folder, name, frame
@@ -107,7 +129,7 @@ class PackWriter:
 class PackReader:
     """Reads addressed strings of the packs in a folder; the last few files and frames stay open and decoded."""
 
-    def __init__(self, folder: str, files: int = 8, frames: int = 24):
+    def __init__(self, folder: str, files: int = 8, frames: int = 64):
         import zstandard
 
         self.fs, self.base = open_store(folder)
@@ -161,25 +183,25 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", key:
     def encode(batches):
         encoder, name = file_tokenizer(tokenizer), _task_name("spool")
         out, rows = PackWriter(spool, name), []
-        for batch in slices(batches, "t"):
+        for batch in slices(batches, "t", STEP):
             for k, coded in zip(batch.column("k").to_pylist(), encoder.encode(batch.column("t")), strict=True):
                 ids = np.append(coded, np.uint32(end_id)).astype(unit)
                 ends = cuts(ids)
                 raw = ids.tobytes()
                 bounds = [0, *(e * unit.itemsize for e in ends)]
                 digests = [digest_of(raw[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
-                rows.append((k, len(ids), digests, bounds[1:], out.add(raw)))
+                rows.append((k, len(ids), merkle(digests), digests, bounds[1:], out.add(raw)))
         out.close()
         for i in range(0, len(rows), 2000):
-            k, n, digests, ends, number = zip(*rows[i : i + 2000], strict=True)
+            k, n, root, digests, ends, number = zip(*rows[i : i + 2000], strict=True)
             at, length, inner, size = zip(*(out.places[x] for x in number), strict=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(k, pa.int64()), pa.array(n, pa.int64()), pa.array(digests, pa.list_(pa.binary())), pa.array(ends, pa.list_(pa.int64())), pa.array([name] * len(k)), *(pa.array(x, pa.int64()) for x in (at, length, inner, size))],
-                ["k", "n", "digests", "ends", "pack", "at", "length", "inner", "size"],
+                [pa.array(k, pa.int64()), pa.array(n, pa.int64()), pa.array(root, pa.binary()), pa.array(digests, pa.list_(pa.binary())), pa.array(ends, pa.list_(pa.int64())), pa.array([name] * len(k)), *(pa.array(x, pa.int64()) for x in (at, length, inner, size))],
+                ["k", "n", "root", "digests", "ends", "pack", "at", "length", "inner", "size"],
             )
 
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    coded = materialize(rows.mapInArrow(encode, f"k bigint, n bigint, digests array<binary>, ends array<bigint>, {_PLACE}").withColumn("row", F.monotonically_increasing_id()), "encoded")
+    coded = materialize(rows.mapInArrow(encode, f"k bigint, n bigint, root binary, digests array<binary>, ends array<bigint>, {_PLACE}").withColumn("row", F.monotonically_increasing_id()), "encoded")
 
     # places in the whole stream: sums over key ranges, then within each
     bounds = id_bounds(coded, "k", int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -211,38 +233,57 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", key:
 
     catalog = materialize(ordered.mapInArrow(pack, f"digest binary, {_PLACE}"), "chunks")
     delete_path(spark, spool)
-    return {"folder": packs, "unit": unit.str, "recipes": recipes.select("row", "k", "part", "start", "n", "digests"), "chunks": catalog, "parts": len(bounds) + 1}
+    found = {"folder": packs, "unit": unit.str, "recipes": recipes.select("row", "k", "part", "start", "n", "root", "digests"), "chunks": catalog, "parts": len(bounds) + 1}
+    found["manifests"] = materialize(manifests(found), "manifests")
+    return found | {"root": merkle(list(_manifest_roots(found).values()))}
+
+
+def _manifest_roots(handle: dict) -> dict[int, bytes]:
+    """Each part's root, in the order of the parts: a row for each part."""
+    return {r["part"]: bytes(r["root"]) for r in handle["manifests"].orderBy("part").collect()}
 
 
 def read(handle: dict, key: str = "doc_id") -> DataFrame:
     """Every document from the store: key, start, n_tokens, ids_crc32 (of little-endian 32-bit ids), root, part.
 
-    A chunk that differs from its digest, or a document of another length than its recipe says, raises ValueError.
+    ValueError for a chunk that differs from its digest, a document whose length or root its recipe doesn't give, a
+    part whose documents' roots don't give its manifest's, and manifests that don't give the store's root.
     """
-    unit, folder = np.dtype(handle["unit"]), handle["folder"]
+    unit, folder, told = np.dtype(handle["unit"]), handle["folder"], _manifest_roots(handle)
+    if merkle(list(told.values())) != handle["root"]:
+        raise ValueError("the manifests aren't the store's")
     wanted = handle["recipes"].select("row", F.posexplode("digests").alias("pos", "digest"))
     placed = wanted.join(handle["chunks"], "digest").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "digest", "pack", "at", "length", "inner", "size"))).alias("chunks"))
-    rows = dealt(handle["recipes"].select("row", "k", "part", "start", "n").join(placed, "row"), handle["parts"], "part").sortWithinPartitions("part", "start")
+    rows = dealt(handle["recipes"].select("row", "k", "part", "start", "n", F.col("root").alias("named")).join(placed, "row"), handle["parts"], "part").sortWithinPartitions("part", "start")
 
     def run(batches):
-        reader = PackReader(folder)
+        reader, at_part, seen = PackReader(folder), None, []
         for batch in batches:
             crcs, roots = [], []
             lists = batch.column("chunks")
             fields = lists.flatten().flatten()  # pos, digest, then the address
             digests, places = fields[1].to_pylist(), list(zip(*(x.to_pylist() for x in fields[2:]), strict=True))
             at = [0, *np.cumsum(lists.value_lengths().to_numpy()).tolist()]
-            for i, n in enumerate(batch.column("n").to_pylist()):
-                own = digests[at[i] : at[i + 1]]
+            for i, (part, n, named) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("part", "n", "named")), strict=True)):
                 parts = [reader.read(*place) for place in places[at[i] : at[i + 1]]]
-                if any(digest_of(raw) != digest for raw, digest in zip(parts, own, strict=True)):
+                own = [digest_of(raw) for raw in parts]
+                if own != digests[at[i] : at[i + 1]]:
                     raise ValueError("damaged chunk")
                 ids = np.frombuffer(b"".join(parts), unit).astype("<u4")
-                if len(ids) != n:
+                if len(ids) != n or merkle(own) != named:
                     raise ValueError("a recipe doesn't give its document")
+                if part != at_part:
+                    checked(at_part, seen)
+                    at_part, seen = part, []
+                seen.append(named)
                 crcs.append(zlib.crc32(ids.tobytes()))
-                roots.append(merkle(own))
+                roots.append(named)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k", "start", "n")), pa.array(crcs, pa.int64()), pa.array(roots, pa.binary()), batch.column("part")], [key, "start", "n_tokens", "ids_crc32", "root", "part"])
+        checked(at_part, seen)
+
+    def checked(part, roots):
+        if part is not None and merkle(roots) != told.get(part):
+            raise ValueError("a part's documents aren't those of its manifest")
 
     return rows.mapInArrow(run, f"`{key}` bigint, start bigint, n_tokens bigint, ids_crc32 bigint, root binary, part int")
 
@@ -253,17 +294,17 @@ def manifests(handle: dict) -> DataFrame:
     def run(batches):
         at, roots = None, []
         for batch in batches:
-            for part, digests in zip(batch.column("part").to_pylist(), batch.column("digests").to_pylist(), strict=True):
+            for part, root in zip(batch.column("part").to_pylist(), batch.column("root").to_pylist(), strict=True):
                 if part != at:
                     if roots:
                         yield told(at, roots)
                     at, roots = part, []
-                roots.append(merkle(digests))
+                roots.append(root)
         if roots:
             yield told(at, roots)
 
     def told(part, roots):
         return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(roots)], pa.int64()), pa.array([merkle(roots)], pa.binary())], ["part", "documents", "root"])
 
-    rows = dealt(handle["recipes"].select("part", "start", "digests"), handle["parts"], "part").sortWithinPartitions("part", "start")
+    rows = dealt(handle["recipes"].select("part", "start", "root"), handle["parts"], "part").sortWithinPartitions("part", "start")
     return rows.mapInArrow(run, "part int, documents bigint, root binary")
