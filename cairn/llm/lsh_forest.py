@@ -2,11 +2,12 @@
 
 A document's set is that of its five-word shingles (a shorter text has one; a text without words has none and
 links to nothing but other texts without words). Documents with equal sets are one member, so copies never meet.
-Each tree files the members in a prefix trie by its own sequence of minhashes; no two trees share a hash. All members
-of a trie node at the prefix length that the target recall asks for are compared with each other, however many
-they are: few ones pair by pair, crowded nodes in tiles of bounded size, where members that are already connected
-aren't compared again. Candidates whose set sizes or sketches are clearly too different go; the rest tie members
-to groups, and within each group all pairs are counted exactly, again in tiles.
+Each tree files the members in a prefix trie by its own sequence of minhashes; no two trees share a hash. Matched
+prefixes are shortened until the pairs that share one in some tree reach the target recall; all members of a node
+of that depth are compared with each other, however many they are: few ones pair by pair, crowded nodes in tiles of
+bounded size, where members that are already connected aren't compared again. Candidates whose set sizes or
+sketches are clearly too different go; the rest tie members to groups, and within each group all pairs are counted
+exactly, on 64-bit shingle hashes, again in tiles of bounded size. Classes are components of the exact links only.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, slices, utf8
@@ -60,19 +61,28 @@ def signatures(runs: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def text_hash(text: str) -> Column:
+    """Tells the texts of one key apart; whoever needs certainty compares the shingle sets' digests as well."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def digest_of(found: np.ndarray) -> bytes:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+
+
 def sets_of(docs: DataFrame, text: str, key: str, width: int) -> DataFrame:
-    """Columns k, digest (of the shingle set), size, sig (binary): one row per row of docs."""
+    """Columns k, h (text_hash), digest (of the shingle set), size, sig (binary): one row per row of docs."""
 
     def run(batches):
         for batch in slices(batches, "t"):
             runs, at = shingles(*words(*utf8(batch.column("t"))), width)
             sets, sigs = distinct(runs, at), signatures(runs, at)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("k"), pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sigs], pa.binary())],
-                ["k", "digest", "size", "sig"],
+                [batch.column("k"), batch.column("h"), pa.array([digest_of(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sigs], pa.binary())],
+                ["k", "h", "digest", "size", "sig"],
             )
 
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, "k bigint, digest binary, size bigint, sig binary")
+    return docs.select(F.col(key).cast("bigint").alias("k"), text_hash(text).alias("h"), F.col(text).alias("t")).mapInArrow(run, "k bigint, h bigint, digest binary, size bigint, sig binary")
 
 
 def near_forest(ids: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, side: np.ndarray | None, threshold: float, floor: int) -> list[tuple[int, int]]:
@@ -153,75 +163,94 @@ def candidates(members: DataFrame, threshold: float, trees: int, recall: float,
     return sparse.union(dealt.select("node", "i", "j", "own", "id", "size", "sig").mapInArrow(within, "a bigint, b bigint"))
 
 
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of left has in common with each of right: products of 0/1 columns, some at a time."""
+    sets = left + right
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    column = np.cumsum(np.concatenate([[False], flat[1:] != flat[:-1]]))
+    on_left = owner < len(left)
+    # only shingles that both sides have matter
+    both = (np.bincount(column[on_left], minlength=column[-1] + 1) > 0) & (np.bincount(column[~on_left], minlength=column[-1] + 1) > 0)
+    place = np.cumsum(both) - 1
+    kept = both[column]
+    column, owner = place[column[kept]], owner[kept]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, int(both.sum()), 4096):
+        a, b = np.searchsorted(column, [low, low + 4096])
+        has = np.zeros((len(sets), min(4096, int(both.sum()) - low)), np.float32)
+        has[owner[a:b], column[a:b] - low] = 1
+        out += has[: len(left)] @ has[len(left) :].T
+    return out
+
+
 def tile_links(left: list[tuple], right: list[tuple] | None, threshold: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Exact links among left, or between left and right: for each member the linked copies and linked members, and a spanning forest.
 
-    A member is (id, copies, set). Shared shingles are counted over the tile's inverted lists.
+    A member is (id, copies, set).
     """
-    members = left + (right or [])
-    ids, copies = np.array([m[0] for m in members]), np.array([m[1] for m in members])
-    sizes = np.array([len(m[2]) for m in members])
-    flat, owner = np.concatenate([m[2] for m in members]), np.repeat(np.arange(len(members)), sizes)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    new = np.concatenate([[True], flat[1:] != flat[:-1]])
-    starts, ends = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(flat))
-    # a column for each shingle that several members have; those columns' products count what members share
-    column = np.cumsum(new) - 1
-    wide = np.flatnonzero(ends - starts > 1)
-    place = np.full(len(starts), -1)
-    place[wide] = np.arange(len(wide))
-    shared = np.zeros((len(members), len(members)), np.float32)
-    for low in range(0, len(wide), 8192):
-        some = (place[column] >= low) & (place[column] < low + 8192)
-        has = np.zeros((len(members), min(8192, len(wide) - low)), np.float32)
-        has[owner[some], place[column[some]] - low] = 1
-        shared += has @ has.T
-    linked = shared.astype(float) / (sizes[:, None] + sizes - shared.astype(float)) >= threshold
-    np.fill_diagonal(linked, False)
-    if right is not None:
-        linked[: len(left), : len(left)] = False
-        linked[len(left) :, len(left) :] = False
-    n_copies, n_members = linked @ copies, linked.sum(axis=1)
+    other = left if right is None else right
+    sizes, wide = (np.array([len(m[2]) for m in side], np.float32) for side in (left, other))
+    shared = _shared([m[2] for m in left], [m[2] for m in other])
+    linked = shared / (sizes[:, None] + wide - shared) >= np.float32(threshold) - np.float32(1e-6)
+    # a quotient that rounding puts near the threshold is decided in whole numbers
+    for i, j in zip(*np.nonzero(linked & (np.abs(shared / (sizes[:, None] + wide - shared) - threshold) < 1e-5)), strict=True):
+        linked[i, j] = int(shared[i, j]) / (int(sizes[i]) + int(wide[j]) - int(shared[i, j])) >= threshold
+    if right is None:
+        np.fill_diagonal(linked, False)
+    copies = [np.array([m[1] for m in side]) for side in (left, other)]
+    if right is None:
+        n_copies, n_members = linked @ copies[1], linked.sum(axis=1)
+    else:
+        n_copies, n_members = np.concatenate([linked @ copies[1], linked.T @ copies[0]]), np.concatenate([linked.sum(axis=1), linked.sum(axis=0)])
+    ids = [m[0] for m in left] + [m[0] for m in right or []]
+    n, offset = len(ids), 0 if right is None else len(left)
     # each tree of the forest is a star around its first member
-    forest, seen = [], np.zeros(len(members), bool)
+    forest, seen = [], np.zeros(n, bool)
     for first in np.flatnonzero(n_members):
         if not seen[first]:
             seen[first], reach = True, [first]
             while reach:
-                fresh = np.flatnonzero(linked[reach.pop()] & ~seen)
+                x = reach.pop()
+                to = np.flatnonzero(linked[x]) + offset if right is None or x < offset else np.flatnonzero(linked[:, x - offset])
+                fresh = to[~seen[to]]
                 seen[fresh] = True
-                reach.extend(fresh)
-                forest += [(int(ids[x]), int(ids[first])) for x in fresh]
+                reach.extend(fresh.tolist())
+                forest += [(ids[y], ids[first]) for y in fresh]
     return n_copies, n_members, forest
 
 
-def links(docs: DataFrame, threshold: float = 0.8, width: int = 5, trees: int = 24, recall: float = 0.999999, tile: int = 256, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Each document's class and links.
+def classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, trees: int = 24, recall: float = 0.999999, tile: int = 1024, weight: int = 1 << 20, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """What links() tells of each row, with k for key, and h (text_hash) and first_h (that of the class's first row).
 
-    Columns: key, class_id (the least key of all that links connect it with), set_id (the least key with the same
-    shingle set), n_links (other documents whose sets have a Jaccard likeness of threshold or more, copies
-    included), n_sets (other sets among them). Rows with a null key are left out of groups: class_id and set_id
-    null, n_links 0. Rows that repeat a key count as documents of their own with the first one's class. A null
-    text counts as empty; all texts without words are one set. Clashing extra columns don't matter.
+    A member is a different shingle set, numbered by itself, so texts that share a key aren't confused. tile and
+    weight bound a tile's members and shingles; they don't change the result.
     """
     prints = materialize(sets_of(docs, text, key, width), "minhash")
-    members = materialize(prints.filter("k is not null").groupBy("digest").agg(F.min("k").alias("id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sig").alias("sig")), "members")
+    found = prints.filter("k is not null").groupBy("digest").agg(F.min(F.struct("k", "h")).alias("o"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sig").alias("sig"))
+    members = materialize(found.select("digest", "o.k", "o.h", "copies", "size", "sig", F.monotonically_increasing_id().alias("id")), "members")
     near = candidates(members.filter("size > 0"), threshold, trees, recall)
-    groups = materialize(components(near), "groups")
-    counts = groups.groupBy("root").agg(F.count("*").alias("members"))
-    tiles = groups.join(counts, "root").withColumn("of", F.ceil(F.col("members") / tile).cast("int")).withColumn("own", F.expr("cast(pmod(xxhash64(id, 7), of) as int)"))
-    rest = tiles.join(members.select("id", "copies"), "id")
-    # each member's text once: the row of its least key, and of rows with that key one with the member's set
-    texts = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(rest, "id")
+    groups = components(near).join(members.select("id", "k", "h", "digest", "copies", "size"), "id")
+    groups = materialize(groups, "groups")
+    counts = groups.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("size") / weight)).cast("int").alias("of"))
+    tiles = groups.join(counts, "root").withColumn("own", F.expr("cast(pmod(xxhash64(id, 7), of) as int)")).drop("size")
+    # each member's text: rows of its first key and text hash; of repeated ones any, once it's known that the set is the member's
+    texts = docs.select(F.col(key).cast("bigint").alias("k"), text_hash(text).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(tiles, ["k", "h"])
 
     def sets(batches):
+        seen: set[int] = set()  # repeated rows of one member meet in one task, or a few
         for batch in slices(batches, "t"):
-            found = distinct(*shingles(*words(*utf8(batch.column("t"))), width))
-            names = [n for n in batch.schema.names if n != "t"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array([x.tobytes() for x in found], pa.binary())], [*names, "s"])
-
-    held = texts.select("id", "root", "of", "own", "copies", "t").mapInArrow(sets, "id bigint, root bigint, of int, own int, copies bigint, s binary")
+            shingled, own = distinct(*shingles(*words(*utf8(batch.column("t"))), width)), []
+            for i, (k, digest) in enumerate(zip(batch.column("id").to_pylist(), batch.column("digest").to_pylist(), strict=True)):
+                if k not in seen and digest_of(shingled[i]) == digest:
+                    seen.add(k)
+                    own.append(i)
+            kept = batch.take(pa.array(own, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(kept.column(n) for n in names), pa.array([shingled[i].tobytes() for i in own], pa.binary())], [*names, "s"])
+
+    names = ["id", "root", "of", "own", "copies"]
+    held = texts.select(*names, "digest", "t").mapInArrow(sets, "id bigint, root bigint, of int, own int, copies bigint, s binary")
     other = F.explode(F.expr("sequence(0, of - 1)"))
     placed = held.withColumn("other", other).select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "copies", "s")
 
@@ -232,7 +261,7 @@ def links(docs: DataFrame, threshold: float = 0.8, width: int = 5, trees: int =
                 if at != (root, i, j):
                     yield from done(at, left, right)
                     at, left, right = (root, i, j), {}, {}
-                (left if own == i else right).setdefault(k, (k, n, np.frombuffer(s, np.uint32)))
+                (left if own == i else right).setdefault(k, (k, n, np.frombuffer(s, np.uint64)))
         yield from done(at, left, right)
 
     def done(at, left, right):
@@ -252,13 +281,42 @@ def links(docs: DataFrame, threshold: float = 0.8, width: int = 5, trees: int =
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     told = materialize(placed.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(count, "a bigint, b bigint, n bigint, m bigint"), "links")
-    classes = components(told.filter("b is not null").select("a", "b"))
+    linked = components(told.filter("b is not null").select("a", "b")).join(members.select("id", "k", "h"), "id")
+    firsts = linked.groupBy("root").agg(F.min(F.struct("k", "h")).alias("first"))
+    classed = linked.join(firsts, "root").select("id", "first")
     sums = told.filter("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    known = members.select("digest", "id", "copies").join(classes, "id", "left").join(sums, "id", "left")
-    return prints.select("k", "digest").join(known, "digest", "left").select(
-        F.col("k").alias(key),
-        F.when(F.col("k").isNotNull(), F.coalesce("root", "id")).alias("class_id"),
-        F.when(F.col("k").isNotNull(), F.col("id")).alias("set_id"),
-        F.when(F.col("k").isNotNull(), F.coalesce("n", F.lit(0)) + F.col("copies") - 1).otherwise(0).alias("n_links"),
-        F.when(F.col("k").isNotNull(), F.coalesce("m", F.lit(0))).otherwise(0).alias("n_sets"),
+    known = members.select("digest", "id", F.struct("k", "h").alias("o"), "copies").join(classed, "id", "left").join(sums, "id", "left")
+    rows = prints.select("k", "h", "digest").join(known, "digest", "left")
+    given = F.col("k").isNotNull()
+    first = F.coalesce("first", "o")
+    return rows.select(
+        "k",
+        "h",
+        F.when(given, first["k"]).alias("class_id"),
+        F.when(given, first["h"]).alias("first_h"),
+        F.when(given, F.col("o")["k"]).alias("set_id"),
+        F.when(given, F.coalesce("n", F.lit(0)) + F.col("copies") - 1).otherwise(0).alias("n_links"),
+        F.when(given, F.coalesce("m", F.lit(0))).otherwise(0).alias("n_sets"),
     )
+
+
+def links(docs: DataFrame, threshold: float = 0.8, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
+    """Each document's class and links, one row per input row.
+
+    Columns: key, class_id (the least key of all that links connect it with), set_id (the least key with the same
+    shingle set), n_links (other documents whose sets have a Jaccard likeness of threshold or more, copies
+    included), n_sets (other sets among them). Rows with a null key are left out of groups: class_id and set_id
+    null, n_links 0. Rows that repeat a key count as documents of their own, each by its own text. A null text
+    counts as empty; all texts without words are one set. Clashing extra columns don't matter. how: as in classes().
+    """
+    return classes(docs, threshold, text=text, key=key, **how).select(F.col("k").alias(key), "class_id", "set_id", "n_links", "n_sets")
+
+
+def firsts(docs: DataFrame, threshold: float = 0.8, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
+    """The rows of docs that are their class's first (least key, then least text hash), and all rows with a null key.
+
+    Rows that repeat both key and text are one document and stay or go together.
+    """
+    k, h = F.col("k"), F.col("h")
+    copies = classes(docs, threshold, text=text, key=key, **how).filter((F.col("class_id") != k) | (F.col("first_h") != h)).select(k.alias("__k"), h.alias("__h")).distinct()
+    return docs.join(copies, (docs[key] == copies["__k"]) & (text_hash(text) == copies["__h"]), "left_anti")

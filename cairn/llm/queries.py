@@ -17,17 +17,16 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Also, for each doc_id divisible by 20: near_prints, the other fingerprints at most 3 bits from its own, and
-    near_docs, the doc_ids in order of all documents whose other fingerprints are at most NEAR_BITS from its own."""
-    from .simhash import NEAR_BITS, edited_fingerprints, within_scan
+    """Also, for each doc_id divisible by 20 (null for others): near_prints, how many other fingerprints the block
+    tables find at most 3 bits from its own, and near_docs, the least doc_ids, in order, of all other fingerprints at
+    most NEAR_BITS from its own; documents of equal fingerprint share these lists and are listed once."""
+    from .simhash import NEAR_BITS, edited_fingerprints, near_lists, within
 
     prints = materialize(edited_fingerprints(table(spark, sf_dir, "documents")), "simhash")
     asked = F.col("doc_id") % 20 == 0
-    pairs = materialize(within_scan(prints.filter(asked), prints, NEAR_BITS), "near")
-    found = pairs.filter("distance <= 3").groupBy(F.col("a").alias("fingerprint")).agg(F.count("*").alias("n"))
-    ids = prints.select(F.col("fingerprint").alias("b"), F.col("doc_id").alias("x"))
-    near = pairs.join(ids, "b").groupBy(F.col("a").alias("fingerprint")).agg(F.sort_array(F.collect_list("x")).alias("near"))
-    # arrays meet the documents asked about only
+    found = within(prints.filter(asked), prints, 3, agree=2).groupBy(F.col("a").alias("fingerprint")).agg(F.count("*").alias("n"))
+    near = near_lists(prints.filter(asked), prints, NEAR_BITS).withColumnRenamed("a", "fingerprint")
+    # lists meet the documents asked about only
     full = prints.filter(asked).join(found, "fingerprint", "left").join(near, "fingerprint", "left")
     columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     none = F.array().cast("array<bigint>")

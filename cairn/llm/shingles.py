@@ -6,27 +6,31 @@ count as a-z. Hashes are the same in every process.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _BYTES = np.arange(256)
 _IS_WORD = (_BYTES >= 128) | ((_BYTES >= 48) & (_BYTES <= 57)) | ((_BYTES | 32) >= 97) & ((_BYTES | 32) <= 122)
 _FOLDED = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES | 32, _BYTES).astype(np.uint64) + np.uint64(1)
-_PLAIN = _BYTES.astype(np.uint64) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _PLACE = np.array([pow(0xD1342543DE82EF95, i + 1, 1 << 64) for i in range(64)], np.uint64)
 _powers: dict[int, np.ndarray] = {}
 
 
+#: Bytes that are hashed at a time, so that memory doesn't grow with a text.
+BLOCK = 1 << 20
+#: Words of more bytes get a cryptographic hash: polynomial ones confuse some long words, whatever their base.
+LONG = 256
+
+
 def _power(base: int, n: int) -> np.ndarray:
-    """base to the powers 0 to n - 1 mod 2**64."""
-    if base not in _powers or len(_powers[base]) < n:
-        out = np.full(max(n, 1 << 16), base, np.uint64)
+    """base to the powers 0 to n - 1 mod 2**64; n up to BLOCK + LONG."""
+    if base not in _powers:
+        out = np.full(BLOCK + LONG, base, np.uint64)
         out[0] = 1
-        found = np.cumprod(out)
-        if n > 8 << 20:
-            return found
-        _powers[base] = found
+        _powers[base] = np.cumprod(out)
     return _powers[base][:n]
 
 
@@ -39,11 +43,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, value: np.ndarray | None = None) -> np.ndarray:
-    """Hashes of the byte spans [start, end) of data; value: what each byte counts as."""
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_PLAIN if value is None else value)[data] * _power(_BASE, len(data)), out=total[1:])
-    return mix((total[ends] - total[starts]) * _power(_INVERSE, len(data))[starts])
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Hashes of the byte spans [start, end) of data, in order and apart; value: what each byte counts as."""
+    out = np.zeros(len(starts), np.uint64)
+    short = np.flatnonzero(ends - starts <= LONG)
+    at = 0
+    while at < len(short):
+        low = starts[short[at]]
+        to = int(np.searchsorted(ends[short], low + BLOCK, side="right"))
+        some = short[at:to]
+        stretch = data[low : ends[some[-1]]]
+        total = np.zeros(len(stretch) + 1, np.uint64)
+        np.cumsum(value[stretch] * _power(_BASE, len(stretch)), out=total[1:])
+        out[some] = mix((total[ends[some] - low] - total[starts[some] - low]) * _power(_INVERSE, len(stretch))[starts[some] - low])
+        at = to
+    for i in np.flatnonzero(ends - starts > LONG):
+        folded = value[data[starts[i] : ends[i]]].astype("<u2").tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(folded, digest_size=8).digest(), "little")
+    return out
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,6 +96,5 @@ def shingles(hashes: np.ndarray, at: np.ndarray, width: int = 5) -> tuple[np.nda
 
 
 def distinct(runs: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """Each text's sorted set of 32-bit shingle hashes."""
-    short = (runs >> np.uint64(32)).astype(np.uint32)
-    return [np.unique(short[at[k] : at[k + 1]]) for k in range(len(at) - 1)]
+    """Each text's sorted set of shingle hashes, of all their 64 bits."""
+    return [np.unique(runs[at[k] : at[k + 1]]) for k in range(len(at) - 1)]

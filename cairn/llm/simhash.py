@@ -26,20 +26,23 @@ NEAR_BITS = 28
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
 
-def fingerprints(column: pa.Array, width: int = 5) -> np.ndarray:
-    """One row of 16 bytes for each text."""
+def fingerprints(column: pa.Array, width: int = 5, parts: int = 512) -> np.ndarray:
+    """One row of 16 bytes for each text. parts: how many runs of 255 terms at most are summed at a time."""
     data, offsets = utf8(column)
     runs, at = shingles(*words(data, offsets), width)
     n = len(at) - 1
     votes = np.zeros((n, BITS // 8, 8), np.int64)
-    if len(runs):
-        bits = np.stack([runs, mix(runs + np.uint64(0xA0761D6478BD642F))], axis=1).view(np.uint8)
-        full = np.flatnonzero(np.diff(at))
-        # a counter holds 255 at most: long texts are summed in parts
+    full = np.flatnonzero(np.diff(at))
+    if len(full):
+        # a counter holds 255 at most: long texts are summed in runs
         cuts = [np.arange(a, b, 255) for a, b in zip(at[full], at[full + 1], strict=True)]
-        owner = np.repeat(full, [len(x) for x in cuts])
-        parts = np.add.reduceat(_LANES[bits], np.concatenate(cuts), axis=0)
-        np.add.at(votes, owner, parts.view(np.uint8).reshape(len(owner), BITS // 8, 8))
+        owner, begins = np.repeat(full, [len(x) for x in cuts]), np.concatenate(cuts)
+        for i in range(0, len(begins), parts):
+            low, high = begins[i], begins[i + parts] if i + parts < len(begins) else len(runs)
+            own = runs[low:high]
+            bits = np.stack([own, mix(own + np.uint64(0xA0761D6478BD642F))], axis=1).view(np.uint8)
+            sums = np.add.reduceat(_LANES[bits], begins[i : i + parts] - low, axis=0)
+            np.add.at(votes, owner[i : i + parts], sums.view(np.uint8).reshape(len(sums), BITS // 8, 8))
     return np.packbits(2 * votes > np.diff(at)[:, None, None], axis=2)[:, :, 0]
 
 
@@ -81,41 +84,52 @@ def within(queries: DataFrame, prints: DataFrame, radius: int, agree: int = 1) -
     return pairs.withColumn("distance", distance("a", "b")).filter(F.col("distance") <= radius).select("a", "b", "distance").distinct()
 
 
-def within_scan(queries: DataFrame, prints: DataFrame, radius: int, most: int = 32768) -> DataFrame:
-    """What within() returns, for radii too wide for block tables: every pair is compared, in tiles of about most by most fingerprints."""
+def near_lists(queries: DataFrame, prints: DataFrame, radius: int, most: int = 32768, key: str = "doc_id") -> DataFrame:
+    """For radii too wide for block tables: columns a (fingerprint of queries) and near, the ids in order of all other
+    fingerprints of prints at most radius bits apart; no row for a fingerprint without any.
 
-    def parted(df: DataFrame, side: int) -> tuple[DataFrame, int]:
-        df = df.select("fingerprint").filter("fingerprint is not null").distinct()
-        n = -(-df.count() // most) or 1
-        return df.select("fingerprint", F.lit(side).alias("side"), F.expr(f"cast(pmod(xxhash64(fingerprint, {side}), {n}) as int)").alias("own")), n
-
-    (left, rows), (right, columns) = parted(queries, 0), parted(prints, 1)
-    left = left.select("fingerprint", "side", F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("j"))
-    right = right.select("fingerprint", "side", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("i"), F.col("own").alias("j"))
+    A fingerprint's id is its least key, so copies are listed once. Every query is compared with every fingerprint,
+    in tiles of about most by most of them; a tile gives one row for each query that finds something. Rows of prints
+    with a null fingerprint or key are left out.
+    """
+    left = queries.select("fingerprint").filter("fingerprint is not null").distinct()
+    right = prints.filter("fingerprint is not null").groupBy("fingerprint").agg(F.min(key).cast("bigint").alias("id")).filter("id is not null")
+    rows, columns = (-(-df.count() // most) or 1 for df in (left, right))
+    own = lambda side, n: F.expr(f"cast(pmod(xxhash64(fingerprint, {side}), {n}) as int)")
+    left = left.select(F.lit(0).alias("side"), own(0, rows).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("j"), "fingerprint", F.lit(0).cast("bigint").alias("id"))
+    right = right.select(F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("i"), own(1, columns).alias("j"), "fingerprint", "id")
 
     def run(batches):
-        at, held = None, ([], [])
+        at, held, ids = None, ([], []), []
         for batch in batches:
-            for i, j, side, x in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "side", "fingerprint")), strict=True):
+            for side, i, j, x, k in zip(*(batch.column(c).to_pylist() for c in ("side", "i", "j", "fingerprint", "id")), strict=True):
                 if at != (i, j):
-                    yield from told(*held)
-                    at, held = (i, j), ([], [])
+                    yield from told(*held, ids)
+                    at, held, ids = (i, j), ([], []), []
                 held[side].append(x)
-        yield from told(*held)
+                if side:
+                    ids.append(k)
+        yield from told(*held, ids)
 
-    def told(a, b):
+    def told(a, b, ids):
         if not a or not b:
             return
         x, y = (np.frombuffer(bytes.fromhex("".join(s)), np.uint64).reshape(-1, 2) for s in (a, b))
+        found, ids = [[] for _ in a], np.array(ids)
         for low in range(0, len(y), 8192):
             y0, y1 = np.ascontiguousarray(y[low : low + 8192].T)
             for k, (x0, x1) in enumerate(x):
                 d = np.bitwise_count(y0 ^ x0) + np.bitwise_count(y1 ^ x1)
                 if len(to := np.flatnonzero((d <= radius) & (d > 0))):
-                    yield pa.RecordBatch.from_arrays([pa.array([a[k]] * len(to)), pa.array([b[low + q] for q in to]), pa.array(d[to].astype(np.int32))], ["a", "b", "distance"])
+                    found[k].append(ids[low + to])
+        for low in range(0, len(a), 1024):
+            some = [k for k in range(low, min(low + 1024, len(a))) if found[k]]
+            if some:
+                yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in some]), pa.array([np.concatenate(found[k]) for k in some], pa.list_(pa.int64()))], ["a", "near"])
 
     parts = max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows * columns)
-    return left.union(right.select(left.columns)).repartition(parts, "i", "j").sortWithinPartitions("i", "j").mapInArrow(run, "a string, b string, distance int")
+    lists = left.union(right).repartition(parts, "i", "j").sortWithinPartitions("i", "j").mapInArrow(run, "a string, near array<bigint>")
+    return lists.groupBy("a").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
 
 
 def edited_fingerprints(docs: DataFrame, parts: int | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -28,10 +28,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least doc_id, of each group that links of Jaccard likeness 0.8 connect.
 
-    Documents without doc_id stay; rows that repeat a doc_id stay or go together.
+    Documents without doc_id stay; of rows that repeat a doc_id each goes by its own text, equal ones together.
     """
-    copies = lsh_forest.links(docs.select("doc_id", "text")).filter("class_id <> doc_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    return lsh_forest.firsts(docs).select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
