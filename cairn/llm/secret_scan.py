@@ -1,8 +1,9 @@
 """Secret scans: a trigram inverted index picks each rule's candidates, the rule's regular expression decides.
 
-Only DataFrame expressions: the index holds, for every trigram that some rule asks for, the documents that
-contain it (folded to lower case). A rule's trigram query is a choice of trigram sets; a document is a candidate
-if its postings cover one of them. Rules without mandatory trigrams scan every text.
+Only DataFrame expressions. The index holds every trigram of bytes of the texts (folded to lower case), whatever the
+rules ask for, so later rules can use it too. Documents are numbered in blocks of 64 and a posting is a block's 64-bit
+map, so that postings are intersected 64 documents at a time. A rule's trigram query is a choice of trigram sets; a
+document is a candidate if its postings cover one of them. Rules without mandatory trigrams scan every text.
 """
 
 from __future__ import annotations
@@ -18,19 +19,23 @@ from .trigrams import trigram_query
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: pattern (Java and Python syntax alike), and the least length of one of its groups."""
+    """A kind of secret: pattern (Java and Python syntax alike), and the least length of one of its groups.
+
+    holds: for rules whose matches are mostly too short, what a text must hold for any to be kept (else all are tried).
+    """
 
     kind: str
     pattern: str
     least: int = 0
     group: int = 0
+    holds: str = ""
 
 
 #: The three base kinds.
 BASE = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 2),
     Rule("access", r"AKIA[A-Z0-9]+", 16),
-    Rule("hex", r"[0-9a-f]+", 32),
+    Rule("hex", r"[0-9a-f]+", 32, holds=r"[0-9a-f]{32}"),
 )
 
 #: Published token formats: source hosts, chat services, payment keys, private keys, signed web tokens.
@@ -42,28 +47,55 @@ EXTRA = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 
-#: For rules whose matches are mostly too short: what a text must hold for any to be kept.
-_PREFILTER = {"hex": r"[0-9a-f]{32}"}
+#: Bytes of text whose trigrams are listed at a time; longer texts are cut into overlapping pieces.
+PIECE = 1 << 16
+#: Candidates that are broadcast to the texts at most (some 100 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def _queries(rules: tuple[Rule, ...]) -> dict[str, list[frozenset[str]]]:
     return {r.kind: trigram_query(r.pattern) for r in rules}
 
 
-def postings(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The index: trigram and key, one row for each trigram of the rules' queries in a text."""
-    wanted = sorted({t for q in _queries(rules).values() for way in q for t in way})
-    folded = F.lower(F.col(text))
-    found = F.array(*(F.when(F.contains("__folded", F.lit(t)), F.lit(t)) for t in wanted))
-    return docs.select(F.col(key).alias("k"), folded.alias("__folded")).select("k", F.explode(F.array_compact(found)).alias("trigram"))
+def _key_hash(key: str) -> Column:
+    return F.xxhash64(F.col(key))
+
+
+def postings(docs: DataFrame, text: str = "text", key: str = "doc_id", piece: int = PIECE) -> DataFrame:
+    """The index, written to the shared folder: trigram, block, bits (of the block's documents that hold it), kh.
+
+    The directory is part of it: for each document a row with an empty trigram, its own number for a block, and its
+    key's hash as kh. Postings are sorted by trigram, so a query reads the parts of the files that hold its trigrams.
+    A null text has no trigrams. Blocks are runs of rows of one input partition, so that most of a posting is put
+    together before the shuffle. Places become rows inside generated code; no list of them outgrows a piece.
+    """
+    numbered = docs.select(F.monotonically_increasing_id().alias("n"), _key_hash(key).alias("kh"), F.encode(F.lower(F.coalesce(F.col(text), F.lit(""))), "UTF-8").alias("b"))
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.octet_length("b") - 3, F.lit(0)).cast("long"), F.lit(piece).cast("long"))
+    pieces = F.transform(starts, lambda at: F.substring(F.col("b"), (at + 1).cast("int"), F.lit(piece + 2)))
+    cut = numbered.select("n", "kh", F.posexplode(pieces).alias("p", "b"))
+    # place 0 of a document's first piece stands for the document itself
+    first, last = F.least("p", F.lit(1)), F.octet_length("b") - 2
+    placed = cut.select("n", "kh", "b", F.explode(F.sequence(first, F.greatest(first, last))).alias("i"))
+    itself = F.col("i") == 0
+    rows = placed.select(
+        F.when(itself, F.lit("")).otherwise(F.substring("b", F.col("i"), F.lit(3)).cast("string")).alias("trigram"),
+        F.when(itself, F.col("n")).otherwise(F.expr("shiftright(n, 6)")).alias("block"),
+        F.expr("shiftleft(1L, cast(n & 63 as int))").alias("bit"),
+        F.when(itself, F.col("kh")).alias("kh"),
+    )
+    merged = rows.groupBy("trigram", "block").agg(F.bit_or("bit").alias("bits"), F.max("kh").alias("kh"))
+    return materialize(merged.sortWithinPartitions("trigram", "block"), "trigrams")
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """Columns k and kinds: the rules whose trigram query a document's postings satisfy."""
+    """Columns kh and kinds: the rules whose trigram query a document's postings satisfy, by its key's hash."""
     clauses = [(kind, n, t, len(way)) for kind, q in _queries(rules).items() for n, way in enumerate(q) for t in way]
     terms = index.sparkSession.createDataFrame(clauses, "kind string, way int, trigram string, size int")  # bounded by the rules
-    met = index.join(F.broadcast(terms), "trigram").groupBy("k", "kind", "way", "size").agg(F.count_distinct("trigram").alias("n"))
-    return met.filter("n = size").groupBy("k").agg(F.collect_set("kind").alias("kinds"))
+    asked = index.filter(F.col("trigram").isin(sorted({t for _, _, t, _ in clauses}))).select("trigram", "block", "bits")
+    met = asked.join(F.broadcast(terms), "trigram").groupBy("block", "kind", "way", "size").agg(F.count("*").alias("n"), F.expr("bit_and(bits)").alias("bits"))
+    whole = met.filter("n = size and bits <> 0").groupBy("block", "kind").agg(F.bit_or("bits").alias("bits"))
+    each = whole.select("kind", "block", "bits", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")).filter("bits & shiftleft(1L, i) <> 0").select("kind", F.expr("block * 64 + i").alias("block"))
+    return each.join(index.filter("trigram = ''").select("block", "kh"), "block").groupBy("kh").agg(F.collect_set("kind").alias("kinds"))
 
 
 def _length(x: Column) -> Column:
@@ -93,29 +125,28 @@ def _labelled(rank: int, kind: str):
     return lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), m["end"].alias("end"))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA, text: str = "text", key: str = "doc_id", also: tuple[str, ...] = (), spans: str = "spans") -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA, text: str = "text", key: str = "doc_id", also: tuple[str, ...] = (), spans: str = "spans", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Columns key, also, and spans: array of (start, rank, kind, end), by start, then in the rules' order.
 
     One row per input row; a null text counts as empty; rows with equal or null keys are candidates together, but
-    each text is verified by itself, so their spans are their own. Columns not named in also are left out.
+    each text is verified by itself, so their spans are their own. Columns not named in also are left out. Up to
+    broadcast_rows candidates go to the texts, which then aren't shuffled; more of them meet the texts by key.
     """
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), *(F.col(c).alias(f"also_{c}") for c in also))
     indexed = tuple(r for r in rules if _queries((r,))[r.kind])
-    index = materialize(postings(rows, indexed, "t", "k"), "trigrams")
-    picked = candidates(index, indexed).withColumnRenamed("k", "k2")
-    seen = rows.join(picked, F.col("k").eqNullSafe(F.col("k2")), "left").drop("k2")
+    if indexed:
+        picked = materialize(candidates(postings(rows, "t", "k"), indexed), "candidates")
+        few = picked.limit(broadcast_rows + 1).count() <= broadcast_rows
+        seen = rows.join(F.broadcast(picked) if few else picked, _key_hash("k") == F.col("kh"), "left")
+    else:
+        seen = rows.withColumn("kinds", F.lit(None).cast("array<string>"))
     none = F.array().cast("array<struct<start:int,end:int>>")
     parts = []
     for rank, rule in enumerate(rules):
         may = F.array_contains("kinds", rule.kind) if rule in indexed else F.lit(True)
-        if rule.kind in _PREFILTER:
-            may = may & F.col("t").rlike(_PREFILTER[rule.kind])
-        parts.append(
-            F.transform(
-                F.when(may, matches(F.col("t"), rule)).otherwise(none),
-                _labelled(rank, rule.kind),
-            )
-        )
+        if rule.holds:
+            may = may & F.col("t").rlike(rule.holds)
+        parts.append(F.transform(F.when(may, matches(F.col("t"), rule)).otherwise(none), _labelled(rank, rule.kind)))
     return seen.select(F.col("k").alias(key), *(F.col(f"also_{c}").alias(c) for c in also), F.array_sort(F.concat(*parts)).alias(spans))
 
 
