@@ -1,15 +1,19 @@
 """Mixing sources to target weights; only DataFrame expressions.
 
-The words of a source's documents, laid end to end in a fixed order, are packed into blocks of fixed length.
-Each output shard draws how many of its slots go to each source, a multinomial draw slot by slot; a closing share
-settles the difference between a source's draws and its target. A source's slots, counted through all shards, are
-mapped through a pseudorandom permutation of its block numbers, a new one for each pass, and joined with the
-blocks by number. Everything follows from hashes of seed, source and slot: reruns agree.
+The words of a source's documents, laid end to end in a fixed order, are packed into blocks of fixed length. Each
+output shard draws, slot by slot, from which source its blocks come: a multinomial draw, whose outcome is how many
+blocks the mixture takes of a source. The draws go in waves; each wave's weights are what the waves before left of
+the targets, so that the totals come near them also where there are few blocks. A source's slots, counted through
+all shards, are mapped through a pseudorandom permutation of its block numbers, a new one for each pass, and joined
+with the blocks by number. Everything follows from hashes of seed, shard and slot: reruns agree.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -85,28 +89,50 @@ def streams(docs: DataFrame, sources: DataFrame) -> DataFrame:
     return placed.join(offsets, ["sid", "bucket"]).select("row", "k", "sid", "size", (F.col("offset") + F.col("before")).alias("start"))
 
 
-def slots(sources: DataFrame, shards: int, seed: int) -> DataFrame:
-    """Every slot of the mixture: shard, sid, pass, block. sources: sid, blocks, slots (the target in blocks)."""
+def waves(slots: list[int], near: float) -> list[tuple[int, int]]:
+    """Ranges of all slots' numbers, halving what is left, until the deviation of a last one's draw is a share near of the least target."""
+    total, least = sum(slots), min((n for n in slots if n), default=1)
+    last, at, out = max(4, int(near * near * total * least)), 0, []
+    while total - at > last:
+        out.append((at, at + (total - at + 1) // 2))
+        at = out[-1][1]
+    return [*out, (at, total)] if at < total else out
+
+
+def drawn(spark: SparkSession, slots: list[int], shards: int, seed: int, near: float) -> DataFrame | None:
+    """Columns sid (from 1), shard, n: how many of each shard's slots fall to each source; slots: the sources' targets."""
+    left, parts = list(slots), []
+    todo = waves(slots, near)
+    for k, (low, high) in enumerate(todo):
+        tos = list(accumulate(left))
+        slot = spark.range(low, high, 1, max(1, min(high - low, 2 * spark.sparkContext.defaultParallelism), (high - low) >> 19))
+        shard = F.expr(f"cast(id % {shards} as int)")
+        u = F.pmod(F.xxhash64(F.lit(seed), shard, F.expr(f"id div {shards}")), F.lit(tos[-1]))
+        part = slot.select((_search(F.lit(tos).cast("array<bigint>"), u, len(tos)) + 1).alias("sid"), shard.alias("shard")).groupBy("sid", "shard").agg(F.count("*").alias("n"))
+        parts.append(part)
+        if k + 1 < len(todo):
+            for r in part.groupBy("sid").agg(F.sum("n").alias("n")).collect():  # a row for each source
+                left[r["sid"] - 1] = max(0, left[r["sid"] - 1] - r["n"])
+    return reduce(DataFrame.unionAll, parts).groupBy("sid", "shard").agg(F.sum("n").alias("n")) if parts else None
+
+
+def slots(sources: DataFrame, shards: int, seed: int, most: int, near: float = 0.005, chunk: int = 4096) -> DataFrame:
+    """Every slot of the mixture: shard, sid, pass, block. sources: sid (1, 2, ...), blocks, slots (the target in blocks).
+
+    Draws beyond most passes over a source are void. The driver holds a number for each source.
+    """
     spark = sources.sparkSession
-    total, n = sources.agg(F.sum("slots"), F.count("*")).first()
-    order = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)
-    shares = sources.select("sid", "slots", F.sum("slots").over(order).alias("to"))
-    sorted_list = lambda df, value: df.agg(F.array_sort(F.collect_list(value)).alias("x")).scalar()
-    # the multinomial draws: each slot of a shard falls to a source by the targets' shares
-    numbers = spark.range(total or 0)
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(total or 1))
-    drawn = numbers.select((F.col("id") % shards).cast("int").alias("shard"), u.alias("u"), sorted_list(shares, "to").alias("tos"))
-    drawn = drawn.select("shard", (_search(F.col("tos"), F.col("u"), n) + 1).alias("sid")).groupBy("sid", "shard").agg(F.count("*").alias("n"))
-    # draws beyond a source's target are void, and a closing shard, numbered shards, makes up what is missing
-    every = sources.select("sid", "slots", F.explode(F.sequence(F.lit(0), F.lit(shards))).alias("shard")).join(drawn, ["sid", "shard"], "left")
-    before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
-    reached = F.when(F.col("shard") == shards, F.col("slots")).otherwise(F.least(F.coalesce(F.sum("n").over(before), F.lit(0)), F.col("slots")))
-    plan = materialize(every.select("sid", "shard", reached.alias("reached")).join(shares.select("sid", (F.col("to") - F.col("slots")).alias("base")), "sid").select("sid", "shard", "base", (F.col("base") + F.col("reached")).alias("to")), "plan")
-    # two arrays, as a lambda that reads a field of an array of structs would copy the field out at every step
-    held = numbers.select("id", sorted_list(plan, "to").alias("tos"), sorted_list(plan, F.struct("to", "sid", "shard", "base")).alias("plan"))
-    held = held.select("id", F.get("plan", _search(F.col("tos"), F.col("id"), n * (shards + 1))).alias("r"))
-    found = held.select("id", "r.sid", "r.shard", "r.base").join(sources.select("sid", "blocks"), "sid")
-    found = found.select("sid", "shard", "blocks", F.expr("(id - base) div blocks").alias("pass"), F.expr("(id - base) % blocks").alias("block"))
+    wanted = [r["slots"] for r in sources.select("sid", "slots").orderBy("sid").collect()]
+    counts = drawn(spark, wanted, shards, seed, near)
+    if counts is None:
+        return spark.createDataFrame([], "shard int, sid int, pass bigint, block bigint")
+    before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    ranged = counts.join(sources.select("sid", "blocks"), "sid").withColumn("low", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("high", F.least(F.col("low") + F.col("n"), F.col("blocks") * most))
+    # a source's slots of a shard stand side by side: ranges of bounded length, then their numbers
+    ranges = ranged.filter("low < high").select("sid", "shard", "blocks", "high", F.explode(F.sequence("low", F.col("high") - 1, F.lit(chunk).cast("long"))).alias("at"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(wanted) >> 18)
+    numbers = ranges.repartition(parts, "sid", "at").select("sid", "shard", "blocks", F.explode(F.sequence("at", F.least(F.col("at") + chunk, "high") - 1)).alias("i"))
+    found = numbers.select("sid", "shard", "blocks", F.expr("i div blocks").alias("pass"), F.expr("i % blocks").alias("block"))
     return _permute(found.withColumn("seed", F.xxhash64(F.lit(seed), "sid", "pass")), "block", "blocks", "seed").select("shard", "sid", "pass", "block")
 
 
@@ -133,31 +159,36 @@ def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.
 
     Columns key, size, source_size, target (the source's), taken, n_shards (output shards that hold some of its
     words); one row per input row, repeated rows and null keys included. A null text has size 0; a null source is
-    a source of its own, the last. shards: 62 at most, as they are told apart by bits.
+    a source of its own, the last. Sources are few: targets and draws keep a number for each in one place.
     """
     rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("k"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")), "words")
     sources, placed = plan(rows, weights, share, most, block)
-    chosen = slots(sources, shards, seed).groupBy("sid", "block").agg(F.count("*").alias("times"), F.bit_or(F.expr("shiftleft(1L, shard)")).alias("in"))
+    # most shards at most for each block
+    chosen = slots(sources, shards, seed, most).groupBy("sid", "block").agg(F.count("*").alias("times"), F.collect_set("shard").alias("in"))
     found = _pieces(placed, block).join(chosen, ["sid", "block"], "left")
     per_row = found.groupBy("row", "k", "sid", "size").agg(
-        F.coalesce(F.sum((F.col("end") - F.col("first")) * F.col("times")), F.lit(0)).alias("taken"), F.coalesce(F.bit_count(F.bit_or("in")), F.lit(0)).alias("n_shards")
+        F.coalesce(F.sum((F.col("end") - F.col("first")) * F.col("times")), F.lit(0)).alias("taken"), F.size(F.array_distinct(F.flatten(F.collect_set("in")))).cast("long").alias("n_shards")
     )
     return per_row.join(sources.select("sid", "source_size", "target"), "sid").select(F.col("k").alias(key), "size", "source_size", "target", "taken", "n_shards")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, block: int = 64, shards: int = 32, seed: int = 1, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
-    """The mixture as documents: docs with each text cut down to the words taken of it, in order.
+    """The mixture as documents: docs with each text cut down to the words taken of it, in order, and out_shards.
 
     A row for each pass over a source and document of which that pass takes words; white space after a word goes
-    with it. Documents of which nothing is taken have no row. Other columns are kept as they are.
+    with it. out_shards: the output shards that drew those words, in order. Documents of which nothing is taken have
+    no row. Other columns are kept as they are; if out_shards is one of them, the new one has underscores before it.
     """
     rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mixed")
     sizes = materialize(rows.select(F.col("__row").alias("row"), F.col(key).alias("k"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")), "words")
     sources, placed = plan(sizes, weights, share, most, block)
-    chosen = slots(sources, shards, seed).select("sid", "block", "pass")
-    spans = _pieces(placed, block).join(chosen, ["sid", "block"]).groupBy("row", "pass").agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("__spans"))
+    chosen = slots(sources, shards, seed, most)
+    spans = _pieces(placed, block).join(chosen, ["sid", "block"]).groupBy("row", "pass").agg(F.array_sort(F.collect_list(F.struct("first", "end", "shard"))).alias("__spans"))
     parts = F.regexp_extract_all(F.col(text), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
     # the words are bound by a lambda of their own, so that they are cut out once for all spans
     cut = F.transform(F.array(parts), lambda words: F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice(words, (s["first"] + 1).cast("int"), (s["end"] - s["first"]).cast("int")))), ""))[0]
     held = rows.join(spans.withColumnRenamed("row", "__row"), "__row")
-    return held.select(*(cut.alias(c) if c == text else F.col(c) for c in docs.columns))
+    name = "out_shards"
+    while name in docs.columns:
+        name = f"_{name}"
+    return held.select(*(cut.alias(c) if c == text else F.col(c) for c in docs.columns), F.array_sort(F.array_distinct(F.transform("__spans", lambda s: s["shard"]))).alias(name))

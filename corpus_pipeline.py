@@ -40,7 +40,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture: 150 % of all words, sources weighing 3, 1, 2, repeating, none taken more than twice."""
-    return _with_length(mixing.mix(docs))
+    return _with_length(mixing.mix(docs).select(*docs.columns))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
