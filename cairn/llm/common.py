@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; a longer text is one step of its own.
 STEP_BYTES = 1 << 20
@@ -44,6 +45,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_few(df: DataFrame, most: int) -> DataFrame:
+    """df marked for broadcast if it has at most most rows, which are counted first; else df, to be joined by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a scratch folder below the shared one."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, utf8
+from .common import broadcast_if_few, materialize, slices, utf8
 from .graph import components
 from .shingles import distinct, mix, shingles, words
 
@@ -28,6 +28,8 @@ HASHES = 128
 DEPTH = 8
 #: Members of a trie node up to which its pairs are written out; members of a crowded node's tile. Neither changes what is found.
 FEW, CROWD = 8, 2048
+#: Members of groups, or rows that aren't their class's first, that go to the texts at most (some 100 bytes each); more of them meet the texts by a shuffle.
+BROADCAST_ROWS = 300_000
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -234,9 +236,9 @@ def classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, trees: int
     groups = components(near).join(members.select("id", "k", "h", "digest", "copies", "size"), "id")
     groups = materialize(groups, "groups")
     counts = groups.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("size") / weight)).cast("int").alias("of"))
-    tiles = groups.join(counts, "root").withColumn("own", F.expr("cast(pmod(xxhash64(id, 7), of) as int)")).drop("size")
+    tiles = materialize(groups.join(counts, "root").withColumn("own", F.expr("cast(pmod(xxhash64(id, 7), of) as int)")).drop("size"), "tiles")
     # each member's text: rows of its first key and text hash; of repeated ones any, once it's known that the set is the member's
-    texts = docs.select(F.col(key).cast("bigint").alias("k"), text_hash(text).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(tiles, ["k", "h"])
+    texts = docs.select(F.col(key).cast("bigint").alias("k"), text_hash(text).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(broadcast_if_few(tiles, BROADCAST_ROWS), ["k", "h"])
 
     def sets(batches):
         seen: set[int] = set()  # repeated rows of one member meet in one task, or a few
@@ -319,4 +321,5 @@ def firsts(docs: DataFrame, threshold: float = 0.8, text: str = "text", key: str
     """
     k, h = F.col("k"), F.col("h")
     copies = classes(docs, threshold, text=text, key=key, **how).filter((F.col("class_id") != k) | (F.col("first_h") != h)).select(k.alias("__k"), h.alias("__h")).distinct()
+    copies = broadcast_if_few(materialize(copies, "copies"), BROADCAST_ROWS)
     return docs.join(copies, (docs[key] == copies["__k"]) & (text_hash(text) == copies["__h"]), "left_anti")

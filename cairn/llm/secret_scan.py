@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import broadcast_if_few, materialize
 from .trigrams import trigram_query
 
 
@@ -136,8 +136,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA, text: str = "t
     indexed = tuple(r for r in rules if _queries((r,))[r.kind])
     if indexed:
         picked = materialize(candidates(postings(rows, "t", "k"), indexed), "candidates")
-        few = picked.limit(broadcast_rows + 1).count() <= broadcast_rows
-        seen = rows.join(F.broadcast(picked) if few else picked, _key_hash("k") == F.col("kh"), "left")
+        seen = rows.join(broadcast_if_few(picked, broadcast_rows), _key_hash("k") == F.col("kh"), "left")
     else:
         seen = rows.withColumn("kinds", F.lit(None).cast("array<string>"))
     none = F.array().cast("array<struct<start:int,end:int>>")
