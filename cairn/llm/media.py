@@ -1,8 +1,8 @@
 """Media columns: content-addressed payloads in tar shards; rows carry digest, offset and length.
 
-A payload is stored as an 8-bit grey PNG image, 64 samples wide. Every task packs its payloads into a tar shard of
-its own in the shared folder, each content once; over all shards, a digest has one address, the first of its
-places. Metadata columns come from the images' first 33 bytes, read as ranges; features from the samples.
+A payload is stored as an 8-bit grey PNG image, 64 samples wide, and each different payload once in the whole store:
+payloads with copies meet by digest before they are written, those without go straight from their task to its shard.
+Metadata columns come from the images' first 33 bytes, read as ranges; features from the samples.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +18,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, open_store, slices
+from .common import broadcast_if_few, fresh_path, materialize, open_store, slices
 
 WIDTH = 64
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER = 33
-_ADDRESS = "shard string, offset bigint, length bigint"
+#: Payloads with copies that are told to all tasks at most (some 100 bytes each); beyond, all payloads meet by digest.
+BROADCAST_ROWS = 300_000
 
 
 def padded(raw: bytes) -> bytes:
@@ -74,40 +76,49 @@ def _tar_header(name: str, size: int) -> bytes:
     return bytes(head)
 
 
-def store(docs: DataFrame, folder: str | None = None, text: str = "text", key: str = "doc_id", level: int = 6) -> DataFrame:
-    """Write every text's payload; columns key, n_bytes, digest (of the stored form), shard, offset, length.
+@dataclass
+class Store:
+    """rows: key, n_bytes, payload (SHA-256 of the payload), one for each input row; addresses: payload, digest (SHA-256
+    of the stored form), folder, shard, offset, length, one for each different payload. Both are written tables."""
 
-    One row per input row, repeated rows and null keys included; a null text counts as empty. A shard's name has
-    the task attempt in it, and only the rows of tasks that ended well are kept, so a lost or repeated task leaves
-    at most an unused file. The rows are written to the shared folder.
+    rows: DataFrame
+    addresses: DataFrame
+
+
+def store(docs: DataFrame, folder: str | None = None, text: str = "text", key: str = "doc_id", level: int = 6, broadcast_rows: int = BROADCAST_ROWS) -> Store:
+    """Write every different payload once.
+
+    Repeated rows and null keys have rows of their own; a null text counts as empty. A shard's name has the task
+    attempt in it, and only the addresses of tasks that ended well are kept, so a lost or repeated task leaves at
+    most an unused file.
     """
     folder = folder or fresh_path(docs.sparkSession, "media")
-    kind = docs.schema[key].dataType.simpleString()
+    raw = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
+    named = docs.select(F.col(key).alias("k"), raw.alias("raw")).select("k", "raw", F.octet_length("raw").cast("long").alias("n_bytes"))
+    named = named.withColumn("payload", F.unhex(F.sha2(F.expr(f"rpad(raw, cast(greatest(1, ceil(n_bytes / {WIDTH})) * {WIDTH} as int), X'00')"), 256)))
+    rows = materialize(named.select("k", "n_bytes", "payload"), "media-rows")
+    copied = broadcast_if_few(materialize(rows.groupBy("payload").agg(F.count("*").alias("n")).filter("n > 1").select("payload"), "media-copies"), broadcast_rows)
 
     def run(batches):
-        task, out, known, at = TaskContext.get(), None, {}, 0
+        task, out, at = TaskContext.get(), None, 0
         name = f"shard-{task.partitionId():06d}-{task.taskAttemptId()}.tar"
         fs, base = open_store(folder)
         try:
-            for batch in slices(batches, "t"):
-                rows = []
-                for text in batch.column("t").fill_null("").to_pylist():
-                    raw = text.encode()
-                    own = hashlib.blake2b(raw, digest_size=16).digest()
-                    if own not in known:
-                        stored = to_png(padded(raw), level)
-                        if out is None:
-                            fs.create_dir(base, recursive=True)
-                            out = fs.open_output_stream(f"{base}/{name}")
-                        digest = hashlib.sha256(stored).digest()
-                        out.write(_tar_header(f"{digest.hex()}.png", len(stored)) + stored + bytes(-len(stored) % 512))
-                        known[own] = (digest, at + 512, len(stored))
-                        at += 512 + len(stored) + -len(stored) % 512
-                    rows.append((len(raw), *known[own]))
-                n, digest, offset, length = zip(*rows, strict=True)
+            for batch in slices(batches, "raw"):
+                places = []
+                for content in batch.column("raw").to_pylist():
+                    stored = to_png(padded(content), level)
+                    if out is None:
+                        fs.create_dir(base, recursive=True)
+                        out = fs.open_output_stream(f"{base}/{name}")
+                    digest = hashlib.sha256(stored).digest()
+                    out.write(_tar_header(f"{digest.hex()}.png", len(stored)) + stored + bytes(-len(stored) % 512))
+                    places.append((digest, at + 512, len(stored)))
+                    at += 512 + len(stored) + -len(stored) % 512
+                digest, offset, length = zip(*places, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("k"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array([name] * len(rows)), pa.array(offset, pa.int64()), pa.array(length, pa.int64())],
-                    [key, "n_bytes", "digest", "shard", "offset", "length"],
+                    [batch.column("payload"), pa.array(digest, pa.binary()), pa.array([folder] * len(places)), pa.array([name] * len(places)), pa.array(offset, pa.int64()), pa.array(length, pa.int64())],
+                    ["payload", "digest", "folder", "shard", "offset", "length"],
                 )
             if out is not None:
                 out.write(bytes(1024))
@@ -115,17 +126,17 @@ def store(docs: DataFrame, folder: str | None = None, text: str = "text", key: s
             if out is not None:
                 out.close()
 
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"`{key}` {kind}, n_bytes bigint, digest binary, {_ADDRESS}")
-    return materialize(rows, "media-rows").withColumn("folder", F.lit(folder))
-
-
-def catalog(rows: DataFrame) -> DataFrame:
-    """One address for each digest: digest, folder, shard, offset, length, the least of its places."""
-    return rows.groupBy("digest").agg(F.min(F.struct("folder", "shard", "offset", "length")).alias("a")).select("digest", "a.*")
+    texts = named.select("payload", "raw")
+    single = texts.join(copied, "payload", "left_anti")
+    # copies meet after each task has put its own ones together
+    merged = texts.join(copied, "payload", "left_semi").groupBy("payload").agg(F.first("raw").alias("raw"))
+    schema = "payload binary, digest binary, folder string, shard string, offset bigint, length bigint"
+    written = single.select("payload", "raw").mapInArrow(run, schema).union(merged.select("payload", "raw").mapInArrow(run, schema))
+    return Store(rows.withColumnRenamed("k", key), materialize(written, "media-addresses"))
 
 
 def _ranges(addresses: DataFrame, read, names: list[str], schema: str) -> DataFrame:
-    """read(file, offset, length) for every address, in the order of the shards."""
+    """read(file, offset, length, digest) for every address, in the order of the shards."""
 
     def run(batches):
         at, file = None, None
@@ -145,8 +156,8 @@ def _ranges(addresses: DataFrame, read, names: list[str], schema: str) -> DataFr
             file.close()
 
     parts = int(addresses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = addresses.select("digest", "folder", "shard", "offset", "length").repartitionByRange(parts, "folder", "shard", "offset")
-    return placed.sortWithinPartitions("folder", "shard", "offset").mapInArrow(run, f"digest binary, folder string, {_ADDRESS}, {schema}")
+    placed = addresses.repartitionByRange(parts, "folder", "shard", "offset").sortWithinPartitions("folder", "shard", "offset")
+    return placed.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in addresses.schema.fields) + f", {schema}")
 
 
 def headers(addresses: DataFrame) -> DataFrame:
@@ -164,17 +175,16 @@ def feature(samples: np.ndarray) -> str:
 
 
 def contents(addresses: DataFrame) -> DataFrame:
-    """addresses with what each holds: payload_bytes, payload_sha256, tail_crc32, media_width, media_height, feature.
+    """addresses with what each holds: payload_bytes, payload_sha256, tail_crc32, feature.
 
     Stored bytes that differ from their digest raise ValueError.
     """
 
     def read(file, offset, length, digest):
-        width, height = png_size(file.read_at(HEADER, offset))
         stored = file.read_at(length, offset)
         if hashlib.sha256(stored).digest() != digest:
             raise ValueError(f"damaged payload {digest.hex()}")
         payload = from_png(stored)
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), width, height, feature(np.frombuffer(payload, np.uint8))
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), feature(np.frombuffer(payload, np.uint8))
 
-    return _ranges(addresses, read, ["payload_bytes", "payload_sha256", "tail_crc32", "media_width", "media_height", "feature"], "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_width bigint, media_height bigint, feature string")
+    return _ranges(addresses, read, ["payload_bytes", "payload_sha256", "tail_crc32", "feature"], "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, feature string")

@@ -52,11 +52,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .media import catalog, contents, store
+    """Also media_width and media_height, from the stored headers alone, and the address: shard, offset."""
+    from .media import contents, headers, store
 
-    rows = store(table(spark, sf_dir, "documents"))
-    seen = contents(catalog(rows)).drop("folder")
-    return rows.select("doc_id", "n_bytes", "digest").join(seen, "digest").select(
+    kept = store(table(spark, sf_dir, "documents"))
+    seen = contents(materialize(headers(kept.addresses), "media-headers")).drop("folder")
+    return kept.rows.join(seen, "payload").select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), F.lower(F.hex("digest")).alias("media_sha256"),
         "feature", "media_width", "media_height", "shard", "offset",
     )

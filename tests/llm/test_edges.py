@@ -32,8 +32,7 @@ def test_rows_stay(spark, docs):
     assert mixing.taken(docs).count() == n
     assert secret_scan.scan(docs).count() == n and secret_scan.redact(docs).columns == docs.columns
     stored = media.store(docs)
-    addresses = media.catalog(stored)
-    assert stored.count() == n and media.contents(addresses).count() == media.headers(addresses).count() == addresses.count()
+    assert stored.rows.count() == n and media.contents(stored.addresses).count() == media.headers(stored.addresses).count() == stored.addresses.count()
     assert licenses.scan(docs).count() == n
     assert quality.score(docs, quality.fit(docs, labels)).count() == n
     handle = token_store.write(docs, TOKENIZER, 2)
@@ -236,9 +235,21 @@ def test_media_round_trip():
 def test_tar_shards_are_tar(make, tmp_path):
     import tarfile
 
-    rows_ = media.store(make((1, "a"), (2, "a"), (3, "b")), folder=str(tmp_path / "m")).collect()
-    names = [m.name for shard in (tmp_path / "m").iterdir() for m in tarfile.open(shard).getmembers()]
-    assert set(names) == {f"{r.digest.hex()}.png" for r in rows_}
+    docs = make(*((i, f"copied {i % 3}") for i in range(40)), (50, "alone"), (51, "a"), (52, "a\0"), (None, None), (None, "")).repartition(5)
+    for name, most in (("few", 100), ("many", 0)):  # whether or not the copied payloads are told to all tasks
+        kept = media.store(docs, folder=str(tmp_path / name), broadcast_rows=most)
+        addresses = kept.addresses.collect()
+        names = [m.name for shard in (tmp_path / name).iterdir() for m in tarfile.open(shard).getmembers()]
+        assert sorted(names) == sorted(f"{r.digest.hex()}.png" for r in addresses)  # each content once in the whole store
+        assert len(names) == len({bytes(r.payload) for r in kept.rows.collect()}) == 6
+
+
+def test_media_columns(make, tmp_path):
+    kept = media.store(make((1, "x" * 200), (2, None)), folder=str(tmp_path / "m"))
+    assert sorted((r.media_width, r.media_height) for r in media.headers(kept.addresses).collect()) == [(64, 1), (64, 4)]
+    wrong = kept.addresses.withColumn("digest", F.unhex(F.lit("00" * 32)))
+    with pytest.raises(Exception, match="damaged payload"):
+        media.contents(wrong).collect()
 
 
 def test_chunks_share_passages():
