@@ -1,5 +1,8 @@
 """Scalar functions beyond those that Spark has by the same name."""
 
-from .scalar import dates_from_epoch, extract_year, in_list, int_divide, like, llm, near_equal, not_like, register, sub_string
+from .scalar import all_of, dates_from_epoch, extract_year, in_list, int_divide, like, llm, near_equal, not_like, register, register_function, scalar_function, sub_string
 
-__all__ = ["dates_from_epoch", "extract_year", "in_list", "int_divide", "like", "llm", "near_equal", "not_like", "register", "sub_string"]
+__all__ = [
+    "all_of", "dates_from_epoch", "extract_year", "in_list", "int_divide", "like", "llm", "near_equal", "not_like", "register", "register_function",
+    "scalar_function", "sub_string",
+]

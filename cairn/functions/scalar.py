@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,7 +46,7 @@ def in_list(x: Column | str, values: Iterable) -> Column:
 def int_divide(a: Column | str, b: Column | str) -> Column:
     """The quotient of integers, cut towards 0; null for a zero divisor."""
     a, b = _column(a), _column(b)
-    return F.when(b != 0, (a - a % b) / b).cast("bigint")
+    return F.when(b != 0, F.call_function("div", a, b))
 
 
 def near_equal(a: Column | str, b: Column | str, places: int = 2) -> Column:
@@ -72,6 +72,42 @@ def llm(prompt: str, a: Column | str, b: Column | str | None = None, backend: Ca
     return call(joined, F.lit(None).cast("string") if b is None else _column(b).cast("string"))
 
 
+def all_of(x: Column | str, op: str, values: DataFrame) -> Column:
+    """x OP ALL (values), for the one column of values: true if there are none, null if only a null keeps it from being true.
+
+    The values are reduced to a row of their extremes first, so that none but that row meets x.
+    """
+    x, v = _column(x), F.col(values.columns[0])
+    bounds = values.agg(F.struct(F.count("*").alias("n"), F.count(v).alias("known"), F.min(v).alias("least"), F.max(v).alias("most")).alias("b")).scalar()
+    holds = {
+        "=": (x == bounds["least"]) & (x == bounds["most"]),
+        "<": x < bounds["least"],
+        "<=": x <= bounds["least"],
+        ">": x > bounds["most"],
+        ">=": x >= bounds["most"],
+    }[op]
+    return F.when(bounds["n"] == 0, True).when(bounds["known"] == 0, F.lit(None)).when(~holds, False).when(holds & (bounds["known"] == bounds["n"]), True)
+
+
+def scalar_function(batch: Callable[..., pd.Series], returns: str, bind: Callable[..., object] | None = None, constants: tuple = ()) -> Callable[..., Column]:
+    """A function of columns from one that works on batches: Arrow batches in, a batch of the type returns out.
+
+    bind: turns the constants into data, once; batch then gets that data before its columns.
+    """
+    data = bind(*constants) if bind else None
+
+    @F.pandas_udf(returns)
+    def call(*columns: pd.Series) -> pd.Series:
+        return batch(data, *columns) if bind else batch(*columns)
+
+    return call
+
+
+def register_function(spark: SparkSession, name: str, function: Callable[..., Column]) -> None:
+    """Make what scalar_function gives known to SQL of this session by name."""
+    spark.udf.register(name, function)
+
+
 def register(spark: SparkSession) -> None:
     """Make llm(prompt, a, b) and sub_string(x, start, length) known to SQL of this session."""
     spark.sql("create or replace temporary function llm(prompt string, a string, b string) returns string return concat(prompt, coalesce(a, ''))")

@@ -3,6 +3,7 @@
 from .relational import (
     aggregate,
     anti_join,
+    asof_join,
     collect,
     filter_rows,
     hash_join,
@@ -11,13 +12,15 @@ from .relational import (
     order_by,
     project,
     radix_join,
+    range_join,
     replicated_join,
+    same_rows,
     scan,
     semi_join,
     size_in_bytes,
 )
 
 __all__ = [
-    "aggregate", "anti_join", "collect", "filter_rows", "hash_join", "limit", "nested_loop_join", "order_by", "project", "radix_join",
-    "replicated_join", "scan", "semi_join", "size_in_bytes",
+    "aggregate", "anti_join", "asof_join", "collect", "filter_rows", "hash_join", "limit", "nested_loop_join", "order_by", "project", "radix_join", "range_join",
+    "replicated_join", "same_rows", "scan", "semi_join", "size_in_bytes",
 ]

@@ -6,7 +6,7 @@ import operator
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 COMPARE = {"=": operator.eq, "==": operator.eq, "<>": operator.ne, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
@@ -107,6 +107,41 @@ def radix_join(left: DataFrame, right: DataFrame, key: tuple[str, str]) -> DataF
     return left.join(right.hint("shuffle_hash"), _on(left, right, [key]))
 
 
+def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], on: tuple[str, str], values: Sequence[str]) -> DataFrame:
+    """left with the values of right's latest row, among those of equal keys, that isn't later than left's (on: both times).
+
+    Nulls without such a row; of right's rows of one time the greatest values count. Both sides meet once, sorted by key
+    and time; nothing is compared pair by pair.
+    """
+    names = [f"__k{i}" for i in range(len(keys))]
+    held = F.struct(*(F.col(v).alias(v) for v in values))
+    a = left.select(*(F.col(k).alias(n) for (k, _), n in zip(keys, names, strict=True)), F.col(on[0]).alias("__t"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"), F.lit(None).cast(right.select(held).schema[0].dataType).alias("__held"))
+    b = right.select(*(F.col(k).alias(n) for (_, k), n in zip(keys, names, strict=True)), F.col(on[1]).alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("__row"), held.alias("__held"))
+    b = b.filter(F.col("__t").isNotNull()).groupBy(*names, "__t", "__side", "__row").agg(F.max("__held").alias("__held"))
+    order = Window.partitionBy(*names).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    found = a.unionByName(b).withColumn("__held", F.last("__held", ignorenulls=True).over(order)).filter("__side = 1")
+    known = reduce(operator.and_, [F.col(n).isNotNull() for n in names], F.col("__t").isNotNull())
+    return found.select("__row.*", *(F.when(known, F.col("__held")[v]).alias(v) for v in values))
+
+
+def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
+    """Pairs with right.low <= left.point <= right.high, numbers: both sides meet in bins of width (about an interval's length)."""
+    bins = F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))
+    spread = right.filter(F.col(low) <= F.col(high)).withColumn("__bin", F.explode(bins))
+    return left.withColumn("__bin", F.floor(F.col(point) / width)).join(spread, "__bin").filter(F.col(point).between(F.col(low), F.col(high))).drop("__bin")
+
+
+def same_rows(a: DataFrame, b: DataFrame, places: int | None = None) -> bool:
+    """Whether both have the same columns and rows, in any order, repeated ones counted; places: decimals rounded before."""
+    if [(f.name, f.dataType) for f in a.schema] != [(f.name, f.dataType) for f in b.schema]:
+        return False
+    if places is not None:
+        near = [F.round(f.name, places).alias(f.name) if f.dataType.typeName() in ("float", "double") else F.col(f.name) for f in a.schema]
+        a, b = a.select(near), b.select(near)
+    counted = [df.groupBy(*df.columns).agg(F.count("*").alias("__n")) for df in (a, b)]
+    return counted[0].exceptAll(counted[1]).isEmpty() and counted[1].exceptAll(counted[0]).isEmpty()
+
+
 def aggregate(df: DataFrame, keys: Sequence[Column | str] = (), having: Column | str | None = None, **aggs: Column) -> DataFrame:
     """Groups by keys (none: one row) with named aggregates, then the groups for which having is true."""
     out = df.groupBy(*keys).agg(*(a.alias(n) for n, a in aggs.items())) if keys else df.agg(*(a.alias(n) for n, a in aggs.items()))

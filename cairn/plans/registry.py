@@ -12,6 +12,8 @@ from .statements import SQL, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: What a query's results are rounded to, by name, and its counts; see query().
+FORMS: dict[str, tuple[dict[str, int], tuple[str, ...]]] = {}
 
 
 class Tables:
@@ -29,6 +31,7 @@ def query(name: str, rounded: dict[str, int] | None = None, longs: tuple[str, ..
     the order of addition; longs: counts that SQL dialects give other integer types. Both apply to either side.
     """
     rounded = rounded or {}
+    FORMS[name] = (rounded, longs)
 
     def add(f):
         def run(spark: SparkSession, folder: str) -> DataFrame:

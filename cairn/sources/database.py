@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import InvalidData, NoSuchDatabase, NoSuchTable, SchemaMismatch, TableExists
@@ -85,15 +86,17 @@ class Database:
         schema = self.schema(name)
         if [(f.name, f.dataType) for f in rows.schema] != [(f.name, f.dataType) for f in schema]:
             raise SchemaMismatch(f"{name}: {rows.schema.simpleString()} is not {schema.simpleString()}")
-        if checked(rows.isEmpty):
+        if not self._append(name, rows):
             raise InvalidData(f"no rows for {name}")
-        self._append(name, rows)
 
-    def _append(self, name: str, rows: DataFrame) -> None:
-        checked(rows.write.mode("append").parquet, f"{self.folder}/{name}/data")
+    def _append(self, name: str, rows: DataFrame) -> int:
+        """How many rows were written; they are counted as they go by."""
+        seen = Observation()
+        checked(rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet, f"{self.folder}/{name}/data")
+        return seen.get["n"]
 
     def load_files(self, name: str, paths: str | Sequence[str], separator: str = "|") -> int:
-        """Append delimited text files, in parallel; how many rows the table has then.
+        """Append delimited text files, in parallel; how many rows they have.
 
         InvalidData for a missing file, a wrong number of fields or a bad value; then nothing of the call is kept.
         """
@@ -104,8 +107,7 @@ class Database:
             rows = read_text(self.spark, paths, schema, separator)
         except AnalysisException as e:
             raise InvalidData(str(e).split("\n")[0][:200]) from None
-        self._append(name, rows)
-        return self.table(name).count()
+        return self._append(name, rows)
 
     def drop(self, name: str, purge: bool = False) -> None:
         """Forget a table; purge also deletes its rows, which else stay in place and are read again if it is redefined."""
@@ -113,11 +115,6 @@ class Database:
         fs, path = self._path(name if purge else f"{name}/{_DEFINITION}")
         fs.delete(path, True)
 
-    def views(self) -> None:
-        """Make all tables known to SQL by name."""
-        for name in self.tables():
-            self.table(name).createOrReplaceTempView(name)
-
     @staticmethod
     def delete(spark: SparkSession, folder: str) -> None:
         """Remove a database and all its tables; NoSuchDatabase, and nothing removed, if folder is none."""
