@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
-from .shingles import shingles, words
+from .common import materialize, slices, utf8
+from .shingles import BLOCK, shingles, words
 
 _CLASSES = 16
 #: Byte classes: 0 other, 1 a-z, 2 A-Z, 3 digit, 4 space, 5 line end, 6 beyond ASCII, then some marks of their own.
@@ -47,22 +47,30 @@ def _lag(hashes: np.ndarray, at: np.ndarray, lag: int) -> np.ndarray:
 
 
 def term_shares(column: pa.Array) -> np.ndarray:
-    """One row of TERMS numbers for each text: square roots of shares. A text without characters has zeros."""
+    """One row of TERMS numbers for each text: square roots of shares. A text without characters has zeros.
+
+    Bytes are counted BLOCK at a time, so that memory doesn't grow with a text but for its words' hashes.
+    """
     data, offsets = utf8(column)
     n = len(offsets) - 1
     sizes = np.diff(offsets)
-    kind = np.append(_CLASS[data], [0, 0])
-    triple = kind[:-2] * _CLASSES**2 + kind[1:-1] * _CLASSES + kind[2:]
-    owner = np.repeat(np.arange(n), sizes)
-    last = np.concatenate([offsets[1:][sizes > 0] - 1, offsets[1:][sizes > 1] - 2])
-    whole = np.ones(len(data), bool)
-    whole[last] = False
-    counts = np.bincount(owner[whole] * _CLASSES**3 + triple[whole], minlength=n * _CLASSES**3).reshape(n, -1)
+    last = np.concatenate([offsets[1:][sizes > 0] - 1, offsets[1:][sizes > 1] - 2])  # no triple starts there
+    counts, per_kind = np.zeros(n * _CLASSES**3, np.int64), np.zeros(n * _CLASSES, np.int64)
+    for low in range(0, len(data), BLOCK):
+        high = min(low + BLOCK, len(data))
+        kind = np.zeros(high - low + 2, np.int32)
+        kind[: min(len(data), high + 2) - low] = _CLASS[data[low : high + 2]]
+        owner = np.repeat(np.arange(n), np.diff(np.clip(offsets, low, high)))
+        triple = kind[:-2] * _CLASSES**2 + kind[1:-1] * _CLASSES + kind[2:]
+        whole = np.ones(high - low, bool)
+        whole[last[(last >= low) & (last < high)] - low] = False
+        counts += np.bincount(owner[whole] * _CLASSES**3 + triple[whole], minlength=len(counts))
+        per_kind += np.bincount(owner * _CLASSES + kind[:-2], minlength=len(per_kind))
     out = np.zeros((n, TERMS), np.float32)
-    out[:, : _CLASSES**3] = counts / np.maximum(1, sizes - 2)[:, None]
+    out[:, : _CLASSES**3] = counts.reshape(n, -1) / np.maximum(1, sizes - 2)[:, None]
+    shares = per_kind.reshape(n, -1) / np.maximum(1, sizes)[:, None]
     hashes, at = words(data, offsets)
-    per_kind = np.bincount(owner * _CLASSES + kind[:-2], minlength=n * _CLASSES).reshape(n, -1) / np.maximum(1, sizes)[:, None]
-    out[:, _CLASSES**3 :] = np.stack([_lag(hashes, at, 1), _lag(hashes, at, 3), _repeats(hashes, at) ** 2, _repeats(*shingles(hashes, at, 3)), per_kind[:, 2], per_kind[:, [9, 10, 11, 12]].sum(axis=1)], axis=1)
+    out[:, _CLASSES**3 :] = np.stack([_lag(hashes, at, 1), _lag(hashes, at, 3), _repeats(hashes, at) ** 2, _repeats(*shingles(hashes, at, 3)), shares[:, 2], shares[:, [9, 10, 11, 12]].sum(axis=1)], axis=1)
     return np.sqrt(out)
 
 
@@ -100,9 +108,10 @@ class Voter:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, rank: int = 32, neighbours: int = 15, power: float = 8.0, text: str = "text", key: str = "doc_id", label: str = "quality") -> Voter | None:
-    """A Voter from at most sample labelled documents of each class (parameter: the least hashes of their keys).
+    """A Voter from at most sample labelled documents of each class (parameter: the least hashes of key and text).
 
-    Rows with null key or label are left out, as are labels without a document. Without rows of both classes: None.
+    Rows with null key or label are left out, as are labels without a document. A key that is labelled or stands for
+    documents more than once counts once for each, but never beyond the sample. Without rows of both classes: None.
     """
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter("k is not null and y in (0, 1)").distinct()
     parts = [known.filter(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(sample) for y in (0, 1)]
@@ -112,10 +121,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, rank: int = 32,
         for batch in slices(batches, "t", rows=_ROWS):
             rows = term_shares(batch.column("t"))
             at = [np.flatnonzero(r) for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("y"), pa.array([x.tolist() for x in at], pa.list_(pa.int32())), pa.array([r[x].tolist() for r, x in zip(rows, at, strict=True)], pa.list_(pa.float32()))], ["k", "y", "at", "value"])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("h"), batch.column("y"), pa.array([x.tolist() for x in at], pa.list_(pa.int32())), pa.array([r[x].tolist() for r, x in zip(rows, at, strict=True)], pa.list_(pa.float32()))], ["k", "h", "y", "at", "value"])
 
-    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k").select("k", "y", "t")
-    found = texts.mapInArrow(run, "k bigint, y int, at array<int>, value array<float>").toArrow().to_pylist()
+    texts = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(key), F.col(text)).alias("h"), F.col(text).alias("t")).join(F.broadcast(chosen), "k").select("k", "h", "y", "t")
+    vectors = materialize(texts.mapInArrow(run, "k bigint, h bigint, y int, at array<int>, value array<float>"), "labelled")
+    found = [r for y in (0, 1) for r in vectors.filter(F.col("y") == y).orderBy("h", "k").limit(sample).toArrow().to_pylist()]
     found.sort(key=lambda r: (r["k"], r["y"], r["at"], r["value"]))
     y = np.array([r["y"] for r in found])
     if len(set(y.tolist())) < 2:
