@@ -34,17 +34,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """Where this application's intermediate tables are, below the shared folder."""
+    return f"{shared_dir(spark)}/cairn/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/cairn/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: computed once, no lineage, survives lost executors."""
+    """Write df to the shared folder and read it back: computed once, no lineage, survives lost executors.
+
+    The table stays until drop() or clean(), as results may still be computed from it.
+    """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(table: DataFrame) -> None:
+    """Delete a table of materialize() that nothing is computed from any more."""
+    folder = scratch_dir(table.sparkSession)
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if "/cairn/" in path and path.rsplit("/", 1)[0].endswith(folder.rsplit("/", 1)[1]):
+            delete_path(table.sparkSession, path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results that weren't written are lost with them."""
+    delete_path(spark, scratch_dir(spark))
+
+
 def broadcast_if_few(df: DataFrame, most: int) -> DataFrame:
     """df marked for broadcast if it has at most most rows, which are counted first; else df, to be joined by a shuffle."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -233,8 +233,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, trees: int
     found = prints.filter("k is not null").groupBy("digest").agg(F.min(F.struct("k", "h")).alias("o"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sig").alias("sig"))
     members = materialize(found.select("digest", "o.k", "o.h", "copies", "size", "sig", F.monotonically_increasing_id().alias("id")), "members")
     near = candidates(members.filter("size > 0"), threshold, trees, recall)
-    groups = components(near).join(members.select("id", "k", "h", "digest", "copies", "size"), "id")
-    groups = materialize(groups, "groups")
+    groups = materialize(components(near).join(members.select("id", "k", "h", "digest", "copies", "size"), "id"), "groups")
     counts = groups.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("size") / weight)).cast("int").alias("of"))
     tiles = materialize(groups.join(counts, "root").withColumn("own", F.expr("cast(pmod(xxhash64(id, 7), of) as int)")).drop("size"), "tiles")
     # each member's text: rows of its first key and text hash; of repeated ones any, once it's known that the set is the member's

@@ -9,6 +9,7 @@ from .common import materialize, table
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text by the rank file, and what they decode to; a row for each document."""
     import public_tokenizers
 
     from .bpe import encode
@@ -35,12 +36,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mixture takes of each document; also n_shards, the output shards that drew some of its words."""
     from .mixing import taken
 
     return taken(table(spark, sf_dir, "documents"))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of the base kinds and of published token formats in every text; a row for each document."""
     from .secret_scan import BASE, joined, scan
 
     found = scan(table(spark, sf_dir, "documents"))
@@ -64,18 +67,21 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the base phrases, and the labels of all templates found; a row for each document."""
     from .licenses import scan
 
     return scan(table(spark, sf_dir, "documents"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict: the longest rule's, else that of trees trained on the pages that rules decide; also score."""
     from .url_filter import judge
 
     return judge(table(spark, sf_dir, "pages"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by nearest labelled neighbours, learned from the rows that aren't held out; a row for each document."""
     from .quality import fit, score
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -95,6 +101,7 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's class and its number of links; also set_id and n_sets, see links()."""
     from .lsh_forest import links
 
     return links(table(spark, sf_dir, "documents"))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_few, materialize
+from .common import broadcast_if_few, drop, materialize
 from .trigrams import trigram_query
 
 
@@ -135,7 +135,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA, text: str = "t
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), *(F.col(c).alias(f"also_{c}") for c in also))
     indexed = tuple(r for r in rules if _queries((r,))[r.kind])
     if indexed:
-        picked = materialize(candidates(postings(rows, "t", "k"), indexed), "candidates")
+        index = postings(rows, "t", "k")
+        picked = materialize(candidates(index, indexed), "candidates")
+        drop(index)
         seen = rows.join(broadcast_if_few(picked, broadcast_rows), _key_hash("k") == F.col("kh"), "left")
     else:
         seen = rows.withColumn("kinds", F.lit(None).cast("array<string>"))
