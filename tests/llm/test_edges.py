@@ -282,6 +282,27 @@ def test_licence_without_its_rarest_words(make):
     assert licenses.scan(make((1, "this is now granted free of charge to any person getting a copy of this software"))).first().labels == "mit"
 
 
+def test_whole_licence_texts(make):
+    """Each text is found as itself, with a few words changed too, and only where its phrase is whole."""
+    from cairn.llm.licenses import TEXTS, Template
+
+    rnd, docs, want = random.Random(7), [], {}
+    for i, t in enumerate(TEXTS):
+        words = t.words.split(" ")
+        docs.append((3 * i, f"Copyright somebody.\n\n{t.words}\n"))
+        keep = {w.lower().strip('.,;"') for w in t.phrase.split()}
+        changed = [w if w.lower().strip('.,;"') in keep or "\n" in w or rnd.random() > 0.1 else "changed" for w in words]
+        docs.append((3 * i + 1, " ".join(changed)))
+        want |= {3 * i: t.label, 3 * i + 1: t.label}
+    got = {r.doc_id: r for r in licenses.scan(make(*docs)).collect()}
+    assert all(label in got[k].labels.split(",") for k, label in want.items())
+    assert all(got[3 * i].score == 1.0 for i in range(len(TEXTS)))
+    one = make((1, TEXTS[0].words.replace("without restriction", "without any restriction").replace("free of charge", "free")))
+    assert licenses.scan(one, notices=TEXTS).first().labels == ""
+    with pytest.raises(ValueError, match="isn't in the template"):
+        licenses.scan(one, notices=(Template("some words", "other words", "x"),))
+
+
 def test_pipeline_decodes_what_it_encoded(make, monkeypatch):
     import corpus_pipeline
 
