@@ -66,6 +66,13 @@ def clean(spark: SparkSession) -> None:
     delete_path(spark, scratch_dir(spark))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no such column."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name = f"_{name}"
+    return name
+
+
 def broadcast_if_few(df: DataFrame, most: int) -> DataFrame:
     """df marked for broadcast if it has at most most rows, which are counted first; else df, to be joined by a shuffle."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

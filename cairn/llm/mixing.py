@@ -16,7 +16,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_name, materialize
 
 #: The weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -187,8 +187,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     parts = F.regexp_extract_all(F.col(text), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
     # the words are bound by a lambda of their own, so that they are cut out once for all spans
     cut = F.transform(F.array(parts), lambda words: F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice(words, (s["first"] + 1).cast("int"), (s["end"] - s["first"]).cast("int")))), ""))[0]
-    held = rows.join(spans.withColumnRenamed("row", "__row"), "__row")
-    name = "out_shards"
-    while name in docs.columns:
-        name = f"_{name}"
+    held = rows.join(spans.select(F.col("row").alias("__row"), "__spans"), "__row")
+    name = free_name(docs, "out_shards")
     return held.select(*(cut.alias(c) if c == text else F.col(c) for c in docs.columns), F.array_sort(F.array_distinct(F.transform("__spans", lambda s: s["shard"]))).alias(name))

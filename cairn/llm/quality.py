@@ -136,8 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, rank: int = 32,
     return Voter(rows, y, rank, neighbours, power)
 
 
-def score(docs: DataFrame, voter: Voter | None, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Columns key, keep and score (0 to 1, higher: label 1 likelier); one row per input row.
+def score(docs: DataFrame, voter: Voter | None, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = (), name: str = "score") -> DataFrame:
+    """Columns key, keep and score, called name (0 to 1, higher: label 1 likelier); one row per input row.
 
     A null text counts as empty; a text without neighbours of positive likeness, as an empty one, gets the labelled
     rows' mean label. Without a voter every score is 1, so that nothing is rejected unseen.
@@ -145,11 +145,11 @@ def score(docs: DataFrame, voter: Voter | None, text: str = "text", key: str = "
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     names = [key, *keep]
     if voter is None:
-        return docs.select(*names).withColumn("score", F.lit(1.0))
+        return docs.select(*names).withColumn(name, F.lit(1.0))
     held = docs.sparkSession.sparkContext.broadcast(voter)  # sample, rank and number of terms bound its size
 
     def run(batches):
         for batch in slices(batches, "__text", rows=_ROWS):
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(held.value.scores(term_shares(batch.column("__text"))))], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(held.value.scores(term_shares(batch.column("__text"))))], [*names, name])
 
-    return docs.select(*names, F.col(text).alias("__text")).mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in names] + ["score double"]))
+    return docs.select(*names, F.col(text).alias("__text")).mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in names] + [f"`{name}` double"]))

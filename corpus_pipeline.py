@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import bpe, lsh_forest, mixing, quality, secret_scan
-from cairn.llm.common import materialize, table
+from cairn.llm.common import free_name, materialize, table
 
 
 def _with_length(docs: DataFrame) -> DataFrame:
@@ -21,8 +21,8 @@ def _with_length(docs: DataFrame) -> DataFrame:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on labels.quality, doesn't reject (score 0.5 or more)."""
     voter = quality.fit(docs, table(spark, sf_dir, "labels"))
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    return quality.score(docs, voter, keep=rest).filter("score >= 0.5").select(*docs.columns)
+    rest, score = tuple(c for c in docs.columns if c != "doc_id"), free_name(docs, "score")
+    return quality.score(docs, voter, keep=rest, name=score).filter(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
