@@ -75,11 +75,11 @@ def _search(array: Column, value: Column, most: int) -> Column:
 def streams(docs: DataFrame, sources: DataFrame) -> DataFrame:
     """Where each document's words stand in its source's stream: docs (row, k, source, size) with sid and start.
 
-    Documents are dealt to buckets of a few thousand by a hash of their key; sums over buckets, then within each,
+    Documents are dealt to buckets of a few thousand by a hash of key and size (so that a key's many texts part); sums over buckets, then within each,
     give the places, so a source of any size is spread out.
     """
     n = docs.count()
-    bucketed = docs.withColumn("bucket", F.pmod(F.when(F.col("k").isNull(), F.xxhash64("row")).otherwise(F.xxhash64("k")), F.lit(max(1, n // 4096))))
+    bucketed = docs.withColumn("bucket", F.pmod(F.when(F.col("k").isNull(), F.xxhash64("row")).otherwise(F.xxhash64("k", "size")), F.lit(max(1, n // 4096))))
     known = sources.select("sid", F.col("source").alias("s2"))
     numbered = bucketed.join(known, F.col("source").eqNullSafe(F.col("s2"))).drop("s2", "source")
     sums = numbered.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))

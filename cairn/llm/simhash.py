@@ -135,26 +135,26 @@ def near_lists(queries: DataFrame, prints: DataFrame, radius: int, most: int = 3
 def edited_fingerprints(docs: DataFrame, parts: int | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Fingerprints of each text and of its edited text, in which the last third gives way to the next text's start.
 
-    The next document is the next in descending key order, rows of equal key by text; after the last comes the
-    first. Rows with a null key come last; if all keys are null, the last row's next text is empty. The rows are
-    dealt out by key range, and each range also gets the row that follows its last, so no task sees all rows.
+    The next document is the next in descending key order, rows of equal key by a hash of their texts and rows with a
+    null key last; after the last comes the first. The rows are dealt out by ranges of that order, and each range also
+    gets the row that follows its last, so no task sees all rows, nor all of a key that very many rows share.
     Columns: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next (likeness: the
     share of equal bits).
     """
-    df = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    df = docs.select(F.col(key).cast("bigint").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("tie", F.xxhash64("t"))
     bounds = id_bounds(df, "k", parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    df = df.withColumn("b", bucket_of("k", bounds))
-    tops = [(r["b"], r["m"]) for r in df.groupBy("b").agg(F.max("k").alias("m")).orderBy("b").collect()]  # a row for each part
-    after: list[int | None] = [None] * (len(bounds) + 1)
-    heads = [(b, m) for b, m in tops if m is not None]
-    for i, (b, _) in enumerate(heads):
-        after[b] = heads[(i + 1) % len(heads)][0]
-    places = [F.struct(F.col("b"), F.lit(0).alias("guest"))]
-    if heads:
-        guest = F.when(F.col("k").isin([m for _, m in heads]), F.get(F.lit(after).cast("array<int>"), F.col("b")))
-        places.append(F.struct(guest.alias("b"), F.lit(1).alias("guest")))
-    rows = df.select(F.explode(F.array(*places)).alias("p"), "k", "t").select("p.b", "p.guest", "k", "t").filter("b is not null")
-    rows = dealt(rows, len(bounds) + 1, "b").sortWithinPartitions("b", "guest", F.col("k").desc_nulls_last(), "t")
+    df = df.withColumn("b", bucket_of("k", "tie", bounds))
+    # the first row of each part, in descending order, is also a guest of the part before it; a row for each part
+    given = F.col("k").isNotNull()
+    heads = sorted(df.groupBy("b").agg(F.max(F.struct(given.alias("given"), "k", "tie")).alias("head")).select("b", "head.k", "head.tie").collect())
+    first, least, after = ([None] * (len(bounds) + 1) for _ in range(3))
+    for i, (b, k, tie) in enumerate(heads):
+        first[b], least[b], after[b] = k, tie, heads[(i + 1) % len(heads)][0]
+    at = lambda x, kind: F.get(F.lit(x).cast(f"array<{kind}>"), F.col("b"))
+    is_head = F.col("k").eqNullSafe(at(first, "bigint")) & (F.col("tie") == at(least, "bigint"))
+    places = [F.struct(F.col("b"), F.lit(0).alias("guest")), F.struct(F.when(is_head, at(after, "int")).alias("b"), F.lit(1).alias("guest"))]
+    rows = df.select(F.explode(F.array(*places)).alias("p"), "k", "t", "tie").select("p.b", "p.guest", "k", "t", "tie").filter("b is not null")
+    rows = dealt(rows, len(bounds) + 1, "b").sortWithinPartitions("b", "guest", F.col("k").desc_nulls_last(), F.col("tie").desc(), F.col("t").desc())
 
     def run(batches):
         held = None

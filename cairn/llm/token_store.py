@@ -167,7 +167,7 @@ def _task_name(kind: str) -> str:
 def write(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", key: str = "doc_id", folder: str | None = None) -> dict:
     """Encode every text with a tokenizers file, append end_id, and store all ids; a handle for read().
 
-    Rows are taken in ascending key order (nulls first; rows of equal key in the order of their ids' digest), each
+    Rows are taken in ascending key order (nulls first; rows of equal key in the order of a hash of their ids), each
     with the place start of its first id in the whole stream. A null text counts as empty: only end_id. Ids are
     stored as unsigned 16-bit integers where the vocabulary allows, else as 32-bit ones. Every pass's result is a
     table in the shared folder, so lost executors cost one pass at most.
@@ -205,14 +205,14 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", key:
 
     # places in the whole stream: sums over key ranges, then within each
     bounds = id_bounds(coded, "k", int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = coded.withColumn("part", bucket_of("k", bounds)).withColumn("name", F.coalesce(F.try_element_at("digests", F.lit(1)), F.lit(b"")))
+    ranged = coded.withColumn("tie", F.xxhash64("root")).withColumn("part", bucket_of("k", "tie", bounds))
     sums = [(r["part"], r["n"]) for r in ranged.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()]  # a row for each part
     before, total = [0] * (len(bounds) + 1), 0
     for part, n in sums:
         before[part], total = total, total + n
-    order = Window.partitionBy("part").orderBy("k", "name", "row").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.select("row", "k", "part", "n", "name").withColumn("start", F.coalesce(F.sum("n").over(order), F.lit(0)) + F.get(F.lit(before).cast("array<bigint>"), F.col("part")))
-    recipes = materialize(starts.drop("name", "n", "k").join(coded, "row"), "recipes")
+    order = Window.partitionBy("part").orderBy("k", "tie", "root", "row").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.select("row", "k", "part", "n", "tie", "root").withColumn("start", F.coalesce(F.sum("n").over(order), F.lit(0)) + F.get(F.lit(before).cast("array<bigint>"), F.col("part")))
+    recipes = materialize(starts.select("row", "part", "start").join(coded, "row"), "recipes")
 
     # every digest's owner is the first place in key order that has it; owners' chunks go to the packs
     listed = recipes.select("start", F.posexplode("digests").alias("pos", "digest"))
