@@ -133,7 +133,9 @@ def slots(sources: DataFrame, shards: int, seed: int, most: int, near: float = 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(wanted) >> 18)
     numbers = ranges.repartition(parts, "sid", "at").select("sid", "shard", "blocks", F.explode(F.sequence("at", F.least(F.col("at") + chunk, "high") - 1)).alias("i"))
     found = numbers.select("sid", "shard", "blocks", F.expr("i div blocks").alias("pass"), F.expr("i % blocks").alias("block"))
-    return _permute(found.withColumn("seed", F.xxhash64(F.lit(seed), "sid", "pass")), "block", "blocks", "seed").select("shard", "sid", "pass", "block")
+    listed = _permute(found.withColumn("seed", F.xxhash64(F.lit(seed), "sid", "pass")), "block", "blocks", "seed").select("shard", "sid", "pass", "block")
+    # ranges make far more rows than Catalyst's estimate knows of: never broadcast
+    return listed.hint("merge")
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...], share: float, most: float, block: int) -> tuple[DataFrame, DataFrame]:
@@ -164,7 +166,7 @@ def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.
     rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("k"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")), "words")
     sources, placed = plan(rows, weights, share, most, block)
     # most shards at most for each block
-    chosen = slots(sources, shards, seed, most).groupBy("sid", "block").agg(F.count("*").alias("times"), F.collect_set("shard").alias("in"))
+    chosen = slots(sources, shards, seed, most).groupBy("sid", "block").agg(F.count("*").alias("times"), F.collect_set("shard").alias("in")).hint("merge")
     found = _pieces(placed, block).join(chosen, ["sid", "block"], "left")
     per_row = found.groupBy("row", "k", "sid", "size").agg(
         F.coalesce(F.sum((F.col("end") - F.col("first")) * F.col("times")), F.lit(0)).alias("taken"), F.size(F.array_distinct(F.flatten(F.collect_set("in")))).cast("long").alias("n_shards")
