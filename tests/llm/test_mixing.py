@@ -25,13 +25,13 @@ def totals(rows):
 def test_draws_decide_what_is_taken(docs):
     """Another number of shards, or seed, draws anew; the totals stay near the targets; reruns agree."""
     seen = []
-    for how in ({}, {}, {"shards": 7}, {"shards": 1}, {"shards": 200}, {"seed": 5}):
+    for how in ({}, {}, {"shards": 7}, {"seed": 5}):
         rows = mixing.taken(docs, **how).collect()
         seen.append(sorted((r.doc_id, r.taken) for r in rows))
         for (_, target), n in totals(rows).items():
             assert abs(n - target) <= max(128, 0.03 * target)
         assert all((r.n_shards > 0) == (r.taken > 0) and r.n_shards <= how.get("shards", 32) for r in rows)
-    assert seen[0] == seen[1] and len({str(x) for x in seen}) == 5
+    assert seen[0] == seen[1] and len({str(x) for x in seen}) == 3
 
 
 def test_draws_are_a_shard_s_own(spark):
