@@ -49,7 +49,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     The table stays until drop() or clean(), as results may still be computed from it.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    # written once and read by name: a marker file would only cost time
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

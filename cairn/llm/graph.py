@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import drop, materialize
 
 
+#: Edges that a task writes at least, so that few edges don't end up in very many files.
+TASK_EDGES = 20_000
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Columns id and root (the least id reachable) for every id of edges (a, b bigint, not null).
 
@@ -17,6 +21,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
+    files = 1 + now.count() // TASK_EDGES  # rounds have about as many edges
     for _ in range(most_rounds):
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -24,7 +29,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         star = large.join(small, "a")
         old, now = now, materialize(
-            star.select("a", F.col("m").alias("b")).union(star.filter("b <> m").select("b", "m")).filter("a <> b").distinct(), "edges"
+            star.select("a", F.col("m").alias("b")).union(star.filter("b <> m").select("b", "m")).filter("a <> b").distinct().coalesce(files), "edges"
         )
         drop(old)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

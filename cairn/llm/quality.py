@@ -75,24 +75,27 @@ def term_shares(column: pa.Array) -> np.ndarray:
 
 
 class Voter:
-    """A fitted model: rarity of terms, projection, labelled unit vectors and labels."""
+    """A fitted model: rarity of terms, projection, labelled unit vectors and labels. rows are weighted in place."""
 
     def __init__(self, rows: np.ndarray, labels: np.ndarray, rank: int, neighbours: int, power: float, seed: int = 1):
         self.neighbours, self.power = min(neighbours, len(labels)), power
         self.rarity = np.log((1 + len(rows)) / (1 + (rows > 0).sum(axis=0))).astype(np.float32) + np.float32(0.3)
-        weighted = rows * self.rarity
-        base = weighted.T @ np.random.default_rng(seed).standard_normal((len(rows), rank + 16)).astype(np.float32)
+        rows *= self.rarity  # from here on weighted
+        base = rows.T @ np.random.default_rng(seed).standard_normal((len(rows), rank + 16)).astype(np.float32)
         for _ in range(3):  # subspace iteration
             base = np.linalg.qr(base)[0]
-            base = weighted.T @ (weighted @ base)
+            base = rows.T @ (rows @ base)
         base = np.linalg.qr(base)[0]
-        self.projection = (base @ np.linalg.svd(weighted @ base, full_matrices=False)[2].T[:, :rank]).astype(np.float32)
-        self.vectors = self.unit(rows)
+        self.projection = (base @ np.linalg.svd(rows @ base, full_matrices=False)[2].T[:, :rank]).astype(np.float32)
+        self.vectors = self.normed(rows @ self.projection)
         self.labels = labels.astype(np.float32)
         self.prior = float(labels.mean())
 
     def unit(self, rows: np.ndarray) -> np.ndarray:
-        out = (rows * self.rarity) @ self.projection
+        return self.normed((rows * self.rarity) @ self.projection)
+
+    @staticmethod
+    def normed(out: np.ndarray) -> np.ndarray:
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
     def scores(self, rows: np.ndarray, block: int = 512) -> np.ndarray:
@@ -125,14 +128,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, rank: int = 32,
 
     texts = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(key), F.col(text)).alias("h"), F.col(text).alias("t")).join(F.broadcast(chosen), "k").select("k", "h", "y", "t")
     vectors = materialize(texts.mapInArrow(run, "k bigint, h bigint, y int, at array<int>, value array<float>"), "labelled")
-    found = [r for y in (0, 1) for r in vectors.filter(F.col("y") == y).orderBy("h", "k").limit(sample).toArrow().to_pylist()]
-    found.sort(key=lambda r: (r["k"], r["y"], r["at"], r["value"]))
-    y = np.array([r["y"] for r in found])
+    found = pa.concat_tables([vectors.filter(F.col("y") == y).orderBy("h", "k").limit(sample).toArrow() for y in (0, 1)])
+    found = found.sort_by([(c, "ascending") for c in ("k", "y", "h")]).combine_chunks()
+    y = found["y"].to_numpy()
     if len(set(y.tolist())) < 2:
         return None
-    rows = np.zeros((len(found), TERMS), np.float32)
-    for i, r in enumerate(found):
-        rows[i, r["at"]] = r["value"]
+    # straight from Arrow: as Python objects the vectors would take several times their size
+    lists = [found[c].combine_chunks() for c in ("at", "value")]
+    rows = np.zeros((len(y), TERMS), np.float32)
+    rows[np.repeat(np.arange(len(y)), lists[0].value_lengths().to_numpy()), lists[0].flatten().to_numpy()] = lists[1].flatten().to_numpy()
     return Voter(rows, y, rank, neighbours, power)
 
 
