@@ -4,7 +4,7 @@ A text is cut only where the vocabulary's pre-tokenizer starts a new piece in an
 follows, whatever stands before it; before and after a line end between characters that aren't white space; before
 an ASCII mark that a letter or digit precedes. The parts are encoded apart: their ids together are those of the whole
 text. Most parts are single words, which recur; each is encoded once by the library and then looked up by its
-characters. The cache only saves time: a part that isn't in it is encoded.
+characters or bytes. The cache only saves time: a part that isn't in it is encoded.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import utf8
 
@@ -26,6 +27,8 @@ from .common import utf8
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text to encode at a time: the more, the more parts are found to be equal before the cache is asked.
 STEP = 4 << 20
+#: Words that the library gets at a time.
+WORDS = 4096
 
 _SPACES = np.zeros(256, bool)
 _SPACES[[*range(9, 14), *range(28, 33)]] = True
@@ -131,6 +134,100 @@ class ChunkEncoder:
         return [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
+#: Bytes of words of Latin letters: ASCII letters, and characters from U+00C0 to U+023F but for two signs, see latin_words().
+_LATIN = np.zeros(256, bool)
+_LATIN[[ord(x) for x in string.ascii_letters]] = True
+_LATIN[0x80:0xC0] = _LATIN[0xC3:0xC9] = True
+
+
+def latin_words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which of some strings are a space and then Latin letters only; data holds their bytes end to end."""
+    wrong = ~_LATIN[data]
+    wrong[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+    seen = np.concatenate([[0], np.cumsum(wrong)])
+    first, size = offsets[:-1], np.diff(offsets)
+    out = size > 1
+    first = first[out]
+    out[out] = (data[first] == 32) & (seen[first + 1] == seen[first + size[out]])
+    return out
+
+
+def _runs(base: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """base[0], base[0] + 1, ... for sizes[0] numbers, then likewise for the next ones."""
+    ends = np.cumsum(sizes)
+    return np.repeat(base - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class ColumnEncoder(ChunkEncoder):
+    """A ChunkEncoder whose kept parts are an Arrow array and their ids one numpy array.
+
+    words: a faster many for latin_words(), of their bytes and offsets, to all ids and the number of each. The kept
+    parts and a column's are told apart by their bytes in one step; new ones are encoded and kept. Parts over longest
+    characters aren't kept; when over limit parts are kept, the half that most steps had goes on.
+    """
+
+    def __init__(self, many: Callable[[list[str]], list[bytes]], limit: int = 400_000, longest: int = 64, whole: bool = False, words: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None):
+        super().__init__(many, limit, longest, whole)
+        self.words = words
+        self.kept = pa.array([], pa.large_string())
+        #: All kept parts' ids, and each part's first place and number there; in how many steps it was, of late.
+        self.ids, self.base, self.sizes, self.steps = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+
+    def _learn(self, parts: pa.Array) -> None:
+        """Encode parts and append them to the kept ones."""
+        data, offsets = utf8(parts)
+        fast = latin_words(data, offsets) if self.words else np.zeros(len(parts), bool)
+        sizes = np.zeros(len(parts), np.int64)
+        flat, order = [self.ids], np.concatenate([np.flatnonzero(fast), np.flatnonzero(~fast)])
+        if fast.any():
+            own = np.diff(offsets)[fast]
+            ids, sizes[fast] = self.words(data[_runs(offsets[:-1][fast], own)], np.concatenate([[0], np.cumsum(own)]))
+            flat.append(ids)
+        if not fast.all():
+            found = self.many(parts.filter(pa.array(~fast)).to_pylist())
+            sizes[~fast] = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            flat.append(np.frombuffer(b"".join(found), "<u4"))
+        base = np.zeros(len(parts), np.int64)
+        base[order] = len(self.ids) + np.cumsum(sizes[order]) - sizes[order]
+        self.ids, self.base, self.sizes = np.concatenate(flat), np.append(self.base, base), np.append(self.sizes, sizes)
+        self.steps = np.append(self.steps, np.zeros(len(parts), np.float32))
+
+    def _keep(self, which: np.ndarray) -> None:
+        """Forget all kept parts but those of some numbers."""
+        self.kept, self.ids = self.kept.take(pa.array(which)), self.ids[_runs(self.base[which], self.sizes[which])]
+        self.sizes, self.steps = self.sizes[which], self.steps[which]
+        self.base = np.cumsum(self.sizes) - self.sizes
+
+    def _encode(self, column: pa.Array) -> list[np.ndarray]:
+        data, offsets = utf8(column)
+        if not len(data):
+            return [np.zeros(0, "<u4")] * len(column)
+        starts = part_starts(data, offsets)
+        bounds = np.append(starts, len(data)).astype(np.int64)
+        parts = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
+        old = len(self.kept)
+        # the kept parts differ, so they are the dictionary's first ones, in their order
+        told = pa.concat_arrays([self.kept, parts]).dictionary_encode()
+        which, fresh = told.indices.to_numpy()[old:], told.dictionary[old:]
+        self._learn(fresh)
+        self.kept = told.dictionary
+        counts = self.sizes[which]
+        to = np.concatenate([[0], np.cumsum(counts)])
+        ids = self.ids[_runs(self.base[which], counts)]
+        seen = np.zeros(len(self.kept), bool)
+        seen[which] = True
+        self.steps += seen
+        short = pc.less_equal(pc.utf8_length(fresh), self.longest).to_numpy(zero_copy_only=False)
+        if not short.all():
+            self._keep(np.concatenate([np.arange(old), old + np.flatnonzero(short)]))
+        if len(self.kept) > self.limit:
+            half = self.limit // 2
+            self._keep(np.sort(np.argpartition(-self.steps, half)[:half]))
+            self.steps /= 2  # what was frequent once has to stay so
+        ends = to[np.searchsorted(starts, offsets)].tolist()
+        return [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
 _ENCODERS: dict[tuple[str, str], tuple] = {}
 
 
@@ -167,7 +264,7 @@ def file_tokenizer(path: str) -> ChunkEncoder:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         own = Tokenizer.from_file(path)
         own.encode_special_tokens = True
@@ -190,5 +287,28 @@ def file_tokenizer(path: str) -> ChunkEncoder:
                 out[i] = np.array(found.ids, "<u4").tobytes()
             return out
 
-        _ENCODERS[path, ""] = (ChunkEncoder(many, whole=not cut),)
+        vocabulary = own.get_vocab(with_added_tokens=False)
+        lengths = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # of each token's bytes
+        lengths[list(vocabulary.values())] = list(map(len, vocabulary))
+        # the model alone, over words that line ends part
+        lined = Tokenizer(own.model)
+        lined.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        parted = spelled | {32: "\nĠ"}
+
+        def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            out = []
+            for low in range(0, len(offsets) - 1, WORDS):
+                block = data[offsets[low] : offsets[min(low + WORDS, len(offsets) - 1)]].tobytes()
+                block = block.decode().replace(" ", "\nĠ") if block.isascii() else block.decode("latin1").translate(parted)
+                out.append(np.array(lined.encode_batch_fast([block], add_special_tokens=False)[0].ids, "<u4"))
+            ids = np.concatenate(out)
+            ends = np.cumsum(lengths[ids])  # tokens spell bytes, so a word's last one ends where the word does
+            after = np.searchsorted(ends, offsets[1:], side="right")
+            if not np.array_equal(ends[after - 1], offsets[1:]):
+                raise ValueError("tokens don't spell their words")
+            return ids, np.diff(after, prepend=0)
+
+        model = steps["model"]
+        spells = not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix")) and all(x in vocabulary for x in spelled.values())
+        _ENCODERS[path, ""] = (ColumnEncoder(many, whole=not cut, words=words if cut and spells else None),)
     return _ENCODERS[path, ""][0]

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from bisect import bisect_left
 from collections import OrderedDict
 
 import numpy as np
@@ -52,24 +53,30 @@ def _marks(ids: np.ndarray) -> np.ndarray:
         x = mix(ids[low : low + _STRETCH].astype(np.uint64) + np.uint64(1))
         total = np.zeros(len(x) + 1, np.uint64)
         np.cumsum(x * _UP[: len(x)], out=total[1:])
-        rolled = (total[_WINDOW:] - total[:-_WINDOW]) * _DOWN[: len(x) - _WINDOW + 1]
+        rolled = (total[_WINDOW:] - total[:-_WINDOW]) * _DOWN[: max(0, len(x) - _WINDOW + 1)]
         out.append(np.flatnonzero((rolled >> np.uint64(32)) & MASK == 0) + (low + _WINDOW))
     return np.unique(np.concatenate(out))
 
 
 def cuts(ids: np.ndarray) -> list[int]:
     """Ends of a stream's chunks: where the hash of the last _WINDOW ids has MASK's bits all 0, LEAST to MOST ids apart."""
-    if len(ids) <= LEAST:
-        return [len(ids)] if len(ids) else []
-    marks = _marks(ids)
-    out, at, k = [], 0, 0
-    while len(ids) - at > LEAST:
-        k = int(np.searchsorted(marks, at + LEAST))
-        end = int(marks[k]) if k < len(marks) and marks[k] <= at + MOST else min(at + MOST, len(ids))
-        out.append(end)
-        at = end
-    if at < len(ids):
-        out.append(len(ids))
+    return cuts_of_each(ids, [0, len(ids)])[0]
+
+
+def cuts_of_each(ids: np.ndarray, bounds: list[int]) -> list[list[int]]:
+    """cuts() of each of several streams, which stand end to end; counted from the stream's start."""
+    marks, out = _marks(ids).tolist(), []
+    k = 0
+    for start, stop in zip(bounds, bounds[1:], strict=False):
+        ends, at = [], start
+        while stop - at > LEAST:  # a mark after LEAST ids has its whole window in the stream
+            k = bisect_left(marks, at + LEAST, k)
+            end = marks[k] if k < len(marks) and marks[k] <= min(at + MOST, stop) else min(at + MOST, stop)
+            ends.append(end - start)
+            at = end
+        if at < stop:
+            ends.append(stop - start)
+        out.append(ends)
     return out
 
 
@@ -179,18 +186,20 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", key:
 
     wide = max(end_id, Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True) - 1) >= 1 << 16
     unit = np.dtype("<u4" if wide else "<u2")
+    end = np.array([end_id], "<u4")
 
     def encode(batches):
         encoder, name = file_tokenizer(tokenizer), _task_name("spool")
         out, rows = PackWriter(spool, name), []
         for batch in slices(batches, "t", STEP):
-            for k, coded in zip(batch.column("k").to_pylist(), encoder.encode(batch.column("t")), strict=True):
-                ids = np.append(coded, np.uint32(end_id)).astype(unit)
-                ends = cuts(ids)
-                raw = ids.tobytes()
+            coded = encoder.encode(batch.column("t"))
+            ids = np.concatenate([x for own in coded for x in (own, end)]).astype(unit)
+            at = [0, *np.cumsum([len(own) + 1 for own in coded]).tolist()]
+            for k, a, b, ends in zip(batch.column("k").to_pylist(), at, at[1:], cuts_of_each(ids, at), strict=False):
+                raw = ids[a:b].tobytes()
                 bounds = [0, *(e * unit.itemsize for e in ends)]
-                digests = [digest_of(raw[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
-                rows.append((k, len(ids), merkle(digests), digests, bounds[1:], out.add(raw)))
+                digests = [digest_of(raw[x:y]) for x, y in zip(bounds, bounds[1:], strict=False)]
+                rows.append((k, b - a, merkle(digests), digests, bounds[1:], out.add(raw)))
         out.close()
         for i in range(0, len(rows), 2000):
             k, n, root, digests, ends, number = zip(*rows[i : i + 2000], strict=True)

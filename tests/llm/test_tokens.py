@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cairn.llm import token_store
-from cairn.llm.chunks import PATTERN, ChunkEncoder, file_tokenizer, rank_encoding
+from cairn.llm.chunks import PATTERN, ChunkEncoder, ColumnEncoder, file_tokenizer, rank_encoding
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -48,6 +48,38 @@ def test_parts_survive_a_full_cache():
         assert small.encode(pa.array([text, text]))[1].tolist() == own.encode_ordinary(text)
 
 
+def test_parts_survive_a_full_array():
+    own = rank_encoding(RANKS, PATTERN)[0]
+    small = ColumnEncoder(lambda parts: [__import__("numpy").array(own.encode_ordinary(x), "<u4").tobytes() for x in parts], limit=5, longest=6)
+    for text in ("one two three four five six seven", "one two eight nine ten eleven twelve", "one extraordinarily one", "", "one two 中文字中文字中文字 three") * 2:
+        assert [x.tolist() for x in small.encode(pa.array([text, None, text]))] == [own.encode_ordinary(text), [], own.encode_ordinary(text)]
+
+
+def test_frequent_parts_stay_through_rare_ones():
+    asked = []
+    small = ColumnEncoder(lambda parts: (asked.extend(parts), [b"\0\0\0\0"] * len(parts))[1], limit=100)
+    for _ in range(16):
+        small.encode(pa.array(["the common words"]))
+    for step in range(6):
+        small.encode(pa.array([" ".join(f"w{step}x{i}" for i in range(90))]))
+    before = len(asked)
+    small.encode(pa.array(["the common words"]))
+    assert asked[before:] == []
+
+
+def test_latin_words_go_to_the_model_together(monkeypatch):
+    encoder, plain = file_tokenizer(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    asked, many, letters = [], encoder.many, str.maketrans("0123456789", "abcdeéxyzŵ")
+    monkeypatch.setattr(encoder, "many", lambda parts: (asked.extend(parts), many(parts))[1])
+    text = "Lorem zwqaxo zwqéxo ŵqaxơ zw×qaxo zwªqaxo 7zwq " + " ".join(f"zw{i:04d}".translate(letters) for i in range(9000))
+    assert encoder.encode(pa.array([text]))[0].tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert not [x for x in asked if x[:1] == " " and x[1:].isalpha() and "ª" not in x]
+
+
+def test_every_letter_in_a_word():
+    same_as_the_libraries([f"x a{chr(c)}b {chr(c)} {chr(c)}b{chr(c)}" for c in range(0x80, 0x300)])
+
+
 def test_another_pattern_gets_whole_texts():
     own, fast = rank_encoding(RANKS, r"[\s\S]{1,7}")
     texts = ["several words, in a row\n and more", "", None]
@@ -65,6 +97,17 @@ def test_long_streams_are_cut_as_short_ones():
     assert {e + 70_000 for e in later[8:]} <= set(ends)
 
 
+def test_streams_end_to_end_are_cut_as_by_themselves():
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    sizes = [0, 1, 15, 16, 63, 64, 65, 80, 0, 3000, *rnd.integers(0, 900, 300).tolist(), 70_000, 5]
+    streams = [rnd.integers(0, 50000, n).astype("<u2") for n in sizes]
+    streams += [np.zeros(9000, "<u2"), streams[-2][:5000], streams[-2][17:5000]]
+    bounds = [0, *np.cumsum([len(x) for x in streams]).tolist()]
+    assert token_store.cuts_of_each(np.concatenate(streams), bounds) == [token_store.cuts(x) for x in streams]
+
+
 @pytest.fixture(scope="module")
 def handle(make):
     texts = [(i, f"document {i} " + " ".join(f"w{(i * 7 + j) % 900}" for j in range(400))) for i in range(12)]
