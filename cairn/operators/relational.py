@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import operator
 from collections.abc import Sequence
 from functools import reduce
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 COMPARE = {"=": operator.eq, "==": operator.eq, "<>": operator.ne, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
 #: A side is broadcast on request only up to this size, by Catalyst's estimate.
 BROADCAST_BYTES = 64 << 20
+#: tiled_join: pairs that a task compares on average, rows of a tile, rows of one key that a task sorts, tasks.
+TASK_PAIRS, TILE_ROWS, PART_ROWS, MOST_TASKS = 1 << 24, 1 << 10, 1 << 17, 1 << 17
 
 
 def size_in_bytes(df: DataFrame) -> int:
@@ -124,6 +127,54 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]]
     return found.select("__row.*", *(F.when(known, F.col("__held")[v]).alias(v) for v in values))
 
 
+def _tiles(df: DataFrame, keys: Sequence[str], compare: Sequence[str], side: str, parts: int, rows: int) -> DataFrame:
+    """Tiles of at most so many rows of one key: the key, the tile's part and number, each compared column's extremes, the rows.
+
+    A key's rows fall into parts by a hash of all columns and are numbered by the first compared column and then that
+    hash, so a task that runs again makes the same tiles.
+    """
+    ks = [f"__k{i}" for i in range(len(keys))]
+    whole = F.xxhash64(*(F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in df.schema))
+    row = F.struct(*(F.col(x).alias(f"{side}{i}") for i, x in enumerate(df.columns)))
+    cut = df.select(*(F.col(x).alias(k) for k, x in zip(ks, keys, strict=True)), *(F.col(x).alias(f"{side}c{i}") for i, x in enumerate(compare)), row.alias(f"{side}s"), whole.alias("__hash"), F.pmod(whole, F.lit(parts)).alias(f"{side}p"))
+    number = F.row_number().over(Window.partitionBy(*ks, f"{side}p").orderBy(*(f"{side}c{i}" for i in range(len(compare[:1]))), "__hash"))
+    ends = [f(f"{side}c{i}").alias(f"{side}{end}{i}") for i in range(len(compare)) for end, f in (("least", F.min), ("most", F.max))]
+    return cut.withColumn(f"{side}n", F.floor((number - 1) / rows)).groupBy(*ks, f"{side}p", f"{side}n").agg(F.collect_list(f"{side}s").alias(f"{side}s"), *ends)
+
+
+def tiled_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], compare: Sequence[tuple[str, str, str]] = (), pairs: int = TASK_PAIRS, rows: int = TILE_ROWS, part: int = PART_ROWS) -> DataFrame:
+    """Inner join on (left column, right column) keys that many rows share and (left column, operator, right column) terms.
+
+    The pairs of equal keys are counted first. Up to pairs of them are left to a plain join; more are cut into tiles of
+    rows of either side, which are dealt to tasks by the number of pairs, so neither many rows of one key nor a small
+    input with many pairs makes a long task. Tiles whose extremes rule a term out never meet. A key's rows are sorted
+    into tiles in parts of about part rows.
+    """
+    ks = [f"__k{i}" for i in range(len(keys))]
+    sides = []
+    for df, at in ((left, 0), (right, -1)):
+        own, compared = [k[at] for k in keys], [term[at] for term in compare]
+        sides.append((reduce(DataFrame.filter, [F.col(x).isNotNull() for x in {*own, *compared}], df), own, compared))
+    a, b = (df.groupBy(*(F.col(x).alias(k) for k, x in zip(ks, own, strict=True))).agg(F.count("*").cast("double").alias(n)) for (df, own, _), n in zip(sides, ("__a", "__b"), strict=True))
+    found, *most = a.join(b, ks, "full").agg(F.sum(F.col("__a") * F.col("__b")), F.max("__a"), F.max("__b")).first()
+    if (found or 0) <= pairs:
+        return left.join(right, _on(left, right, keys, compare))
+    tiles = [_tiles(*side, name, math.ceil(n / part), rows) for side, name, n in zip(sides, ("__l", "__r"), most, strict=True)]
+    meet = tiles[0].join(tiles[1], ks)
+    for i, (_, op, _) in enumerate(compare):
+        if op in ("<", "<=", ">", ">="):
+            ends = ("least", "most") if op[0] == "<" else ("most", "least")
+            meet = meet.filter(COMPARE[op](F.col(f"__l{ends[0]}{i}"), F.col(f"__r{ends[1]}{i}")))
+    tile = [*ks, "__lp", "__ln", "__rp", "__rn"]
+    meet = meet.select(*tile, "__ls", "__rs").repartition(min(math.ceil(found / pairs), MOST_TASKS), *tile)
+    # Generated code holds all that an exploded row yields; transform isn't generated, so here it's a few rows against a tile.
+    few = F.transform(F.sequence(F.lit(1), F.size("__ls"), F.lit(16)), lambda i: F.slice("__ls", i, 16))
+    met = meet.select("__rs", F.explode(few).alias("__ls")).select("__rs", F.inline("__ls")).select("*", F.inline("__rs"))
+    for x, op, y in compare:
+        met = met.filter(COMPARE[op](F.col(f"__l{left.columns.index(x)}"), F.col(f"__r{right.columns.index(y)}")))
+    return met.select(*(F.col(f"{name}{i}").alias(x) for name, df in (("__l", left), ("__r", right)) for i, x in enumerate(df.columns)))
+
+
 def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
     """Pairs with right.low <= left.point <= right.high, numbers: both sides meet in bins of width (about an interval's length)."""
     bins = F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))

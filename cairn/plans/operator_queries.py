@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import extract_year, in_list, like, llm, near_equal, not_like, sub_string
+from ..functions import extract_year, in_list, like, llm, not_like, sub_string
 from ..operators import (
     aggregate,
     anti_join,
@@ -17,6 +17,7 @@ from ..operators import (
     radix_join,
     replicated_join,
     semi_join,
+    tiled_join,
 )
 from .registry import query
 from .statements import text
@@ -207,8 +208,8 @@ def cross_product(t):
 
 @query("join_float_2dp")
 def join_float_2dp(t):
-    a, b = (t.part.select(c("p_partkey").alias(k), c("p_retailprice").alias(p)) for k, p in (("x", "px"), ("y", "py")))
-    return a.join(b, near_equal("px", "py") & (c("x") < c("y"))).select("x", "y")
+    a, b = (t.part.select(c("p_partkey").alias(k), F.round("p_retailprice", 2).alias(p)) for k, p in (("x", "px"), ("y", "py")))
+    return tiled_join(a, b, [("px", "py")], [("x", "<", "y")]).select("x", "y")
 
 
 @query("order_multi_key")
