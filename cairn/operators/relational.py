@@ -178,8 +178,9 @@ def tiled_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]
 def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
     """Pairs with right.low <= left.point <= right.high, numbers: both sides meet in bins of width (about an interval's length)."""
     bins = F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))
-    spread = right.filter(F.col(low) <= F.col(high)).withColumn("__bin", F.explode(bins))
-    return left.withColumn("__bin", F.floor(F.col(point) / width)).join(spread, "__bin").filter(F.col(point).between(F.col(low), F.col(high))).drop("__bin")
+    spread = right.filter(F.col(low) <= F.col(high)).withColumn("__bins", F.explode(bins))
+    binned = left.withColumn("__bin", F.floor(F.col(point) / width))
+    return tiled_join(binned, spread, [("__bin", "__bins")], [(point, ">=", low), (point, "<=", high)]).drop("__bin", "__bins")
 
 
 def same_rows(a: DataFrame, b: DataFrame, places: int | None = None) -> bool:

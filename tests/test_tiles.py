@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.operators import tiled_join
+from cairn.operators import range_join, tiled_join
 from cairn.operators.relational import COMPARE
 from cairn.plans.catalogue import QUERIES
 
@@ -53,3 +53,25 @@ def test_rounded_keys_of_many_rows_are_dealt(spark, tmp_path):
     assert pairs.rdd.getNumPartitions() >= 3
     got = pairs.agg(F.count("*").alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y")).first()
     assert (got.n, got.x, got.y) == (n * (n - 1) // 2, sum(i * (n - 1 - i) for i in range(n)), sum(i * i for i in range(n)))
+
+
+def test_bins_of_many_rows_are_dealt(spark, tmp_path):
+    parts, spans = 12000, 3000
+    spark.range(parts).select(F.col("id").alias("p_partkey"), (900.0 + F.col("id") % 40).alias("p_retailprice")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(spans).select(F.col("id").alias("s_suppkey"), (880.0 + F.col("id") % 30).alias("s_acctbal")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    pairs = QUERIES["range_join"](spark, str(tmp_path))
+    assert pairs.rdd.getNumPartitions() >= 3
+    want = [(p, s) for p in range(40) for s in range(30) if 880 + s <= 900 + p <= 930 + s]
+    got = pairs.groupBy((F.col("p_partkey") % 40).alias("p"), (F.col("s_suppkey") % 30).alias("s")).count().collect()
+    assert sorted(tuple(r) for r in got) == [(p, s, parts // 40 * (spans // 30)) for p, s in want]
+
+
+@pytest.mark.parametrize("rows", [0, 40])
+def test_range_join_in_tiles(spark, monkeypatch, rows):
+    rnd = random.Random(rows)
+    spans = [(i, a := rnd.uniform(-50, 50), a + rnd.uniform(-5, 40)) for i in range(rows)]
+    points = [(i, rnd.uniform(-60, 60)) for i in range(50)] + [(98, -0.0), (99, None)]
+    monkeypatch.setattr(tiled_join, "__defaults__", ((), 20, 4, 16))
+    pairs = range_join(spark.createDataFrame(points, "p int, x double"), spark.createDataFrame(spans, "s int, low double, high double"), "x", "low", "high", 17.0)
+    assert pairs.columns == ["p", "x", "s", "low", "high"]
+    assert sorted((q.p, q.s) for q in pairs.collect()) == sorted((p, s) for p, x in points for s, a, b in spans if x is not None and a <= x <= b)
